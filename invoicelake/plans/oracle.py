@@ -91,17 +91,18 @@ hd AS (
 """
 
 # pt: per-document sums of the printed lines; er: all errors as rows
-ERRORS = VIEW + f""",
+def errors(lines: str, headers: str) -> str:
+    return f""",
 le AS (
   SELECT *, round(CAST(quantity AS DECIMAL(19,4)) * CAST(unit_price AS DECIMAL(19,2))
                   - coalesce(discount_amount, {pct('quantity * unit_price', 'discount_percent')}), 2) AS expected
-  FROM pl),
-pg AS (SELECT doc_id, vat_rate, sum(net_amount) AS net, count(*) AS lines FROM pl GROUP BY ALL),
+  FROM {lines}),
+pg AS (SELECT doc_id, vat_rate, sum(net_amount) AS net, count(*) AS lines FROM {lines} GROUP BY ALL),
 pt AS (
   SELECT h.*, coalesce(line_count, 0) AS line_count, coalesce(line_sum, 0) AS line_sum, coalesce(rate_count, 0) AS rate_count,
          top_rate, coalesce(has_open_rate, false) AS has_open_rate, rate_tax,
          coalesce(line_sum, 0) - allowance_total + charge_total AS expected_net
-  FROM hd h LEFT JOIN (
+  FROM {headers} h LEFT JOIN (
     SELECT doc_id, sum(lines) AS line_count, sum(net) AS line_sum, count(vat_rate) AS rate_count, max(vat_rate) AS top_rate,
            bool_or(vat_rate IS NULL) AS has_open_rate, sum({pct('net', 'vat_rate')}) AS rate_tax
     FROM pg GROUP BY doc_id) t USING (doc_id)),
@@ -131,8 +132,12 @@ er AS (
             FROM px WHERE abs(expected_tax - tax_total) > 0.02 * rate_count)
 """
 
+ERRORS = VIEW + errors("pl", "hd")
+
+
 # dl: deliveries with keys and their own status
-DELIVERIES = ERRORS + f""",
+def deliveries(headers: str, source_format: str) -> str:
+    return f""",
 ec AS (SELECT doc_id, count(*) AS error_count FROM er GROUP BY doc_id),
 d0 AS (
   SELECT h.* EXCLUDE (supplier_vat_id, invoice_number), c.copy,
@@ -142,8 +147,8 @@ d0 AS (
          CASE WHEN copy = 1 AND doc_id % 10 = 2 THEN lower(replace(invoice_number, '-', ' ')) ELSE invoice_number END AS invoice_number,
          copy * 1000000000000 + doc_id AS arrival_seq, 'inv_' || doc_id || '.xml' AS file_name,
          sha256('inv|' || doc_id || '|' || CASE WHEN copy = 1 AND doc_id % 10 <> 1 THEN 1 ELSE 0 END) AS sha256,
-         CASE WHEN doc_id % 2 = 0 THEN 'XRechnung UBL' ELSE 'XRechnung CII' END AS source_format
-  FROM hd h JOIN (SELECT 0 AS copy UNION ALL SELECT 1) c ON copy = 0 OR doc_id % 10 < 3),
+         {source_format} AS source_format
+  FROM {headers} h JOIN (SELECT 0 AS copy UNION ALL SELECT 1) c ON copy = 0 OR doc_id % 10 < 3),
 dl AS (
   SELECT d.*, coalesce(error_count, 0) AS error_count, {key('invoice_number')} AS number_key,
          {supplier_key('supplier_vat_id', 'supplier_name')} AS supplier_key
@@ -151,6 +156,9 @@ dl AS (
 """
 
 
+DELIVERIES = ERRORS + deliveries("hd", "CASE WHEN doc_id % 2 = 0 THEN 'XRechnung UBL' ELSE 'XRechnung CII' END")
+
+
 def sequential(source: str, prefix: str = "") -> str:
     """CTEs `{prefix}fold` (one row per candidate: arrival_seq, hit) over `source`
     (arrival_seq, number_key, supplier_key, invoice_date, gross_total): one recursion step per position in a key."""
@@ -172,7 +180,7 @@ def sequential(source: str, prefix: str = "") -> str:
 
 
 # oc_: outcome per delivery
-OUTCOMES = DELIVERIES + """,
+DECIDED = """,
 fv AS (SELECT sha256, min(arrival_seq) AS first_seq FROM dl WHERE error_count = 0 GROUP BY sha256),
 ca AS (SELECT dl.* FROM dl JOIN fv ON fv.sha256 = dl.sha256 AND fv.first_seq = dl.arrival_seq),
 """ + sequential("ca") + """,
@@ -195,6 +203,7 @@ oo AS (
               ELSE 'Prüfung fehlgeschlagen – nicht gespeichert.' END AS message
   FROM ou)
 """
+OUTCOMES = DELIVERIES + DECIDED
 
 
 def with_ctes(ctes: str, body: str, recursive: bool = False) -> str:
@@ -213,8 +222,8 @@ lg AS (
 """
 STORED = VIEW + f""",
 si AS (SELECT h.*, doc_id AS id, {key('invoice_number')} AS invoice_number_key, {supplier_key('supplier_vat_id', 'supplier_name')} AS supplier_key,
-              sha256('inv|' || doc_id || '|0') AS file_sha256 FROM hd h WHERE doc_id % 2 = 0),
-sl AS (SELECT *, doc_id AS invoice_id FROM pl WHERE doc_id % 2 = 0)
+              sha256('inv|' || doc_id || '|0') AS file_sha256 FROM hd h),
+sl AS (SELECT *, doc_id AS invoice_id FROM pl)
 """
 
 _TAKEN = """(SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'duplicates' ELSE 'failed' END AS disposition, 'inv_' || o_orderkey || '.xml' AS file_name, true AS present
@@ -291,7 +300,7 @@ FROM (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'de 811.' || s_suppkey WH
 SELECT doc_id AS arrival_seq, 'doc_' || doc_id || '.txt' AS file_name, sha256(text) AS sha256, min(doc_id) OVER (PARTITION BY text) AS first_seq,
        doc_id <> min(doc_id) OVER (PARTITION BY text) AS is_copy FROM documents""",
     "content_duplicates_lookup": with_ctes(DELIVERIES, """
-, inc AS (SELECT * FROM dl WHERE doc_id % 2 = 1), sto AS (SELECT * FROM dl WHERE doc_id % 2 = 0),
+, inc AS (SELECT * FROM dl WHERE copy = 1), sto AS (SELECT * FROM dl WHERE copy = 0),
 hit AS (SELECT i.arrival_seq, min(s.arrival_seq) AS duplicate_of
         FROM inc i JOIN sto s ON s.number_key = i.number_key AND (s.supplier_key = i.supplier_key OR (s.invoice_date = i.invoice_date AND s.gross_total = i.gross_total))
         GROUP BY i.arrival_seq)

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import alphanumeric_upper, invoice_number_key, supplier_key
+from ..functions.text import extension
 from ..operators import dedup, outcome, sinks, totals, validate
 from ..operators.audit import integrity_audit as audit_tables
 from ..operators.lookup import left_lookup
-from ..schemas import HEADER_COLUMNS
-from ..session import cut
-from . import reports, synth
+from ..operators.store import Store
+from ..schemas import HEADER_COLUMNS, LINE_COLUMNS
+from ..session import cut, scratch_path, staged
+from ..sources import answers, attachments, einvoice, readers
+from ..streaming import inbox
+from . import importing, render, reports, synth
 
 RUN_TIME = datetime(2006, 1, 1, 12, 30, 15)
 
@@ -252,9 +256,162 @@ def integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_tables(invoices, lines, _log(spark, sf_dir))
 
 
+# Documents as XML and JSON -----------------------------------------------------------------------------------------
+
+_HEADER_OUT = ["supplier_name", "supplier_vat_id", "supplier_street", "supplier_postal_code", "supplier_city", "invoice_number", "invoice_date",
+               "due_date", "currency", "order_reference", "allowance_total", "charge_total", "net_total", "tax_total", "gross_total"]
+
+
+def _parsed(rendered: DataFrame) -> DataFrame:
+    return einvoice.parse_xml(rendered.select("doc_id", F.col("xml").cast("binary").alias("content")))
+
+
+def _flat_invoices(parsed: DataFrame) -> DataFrame:
+    """One row per line; documents without lines keep one row."""
+    rows = parsed.select("doc_id", "syntax", "invoice", F.explode_outer("invoice.lines").alias("l"))
+    return plain(rows.select("doc_id", "syntax", *[F.col(f"invoice.{c}").alias(c) for c in _HEADER_OUT], *[F.col(f"l.{c}").alias(c) for c in LINE_COLUMNS]))
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.prepared(*synth.invoice_view(spark, sf_dir))
+
+
+def ubl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every invoice written as UBL and read back."""
+    return _flat_invoices(_parsed(render.ubl_xml(_prepared(spark, sf_dir))))
+
+
+def cii_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every invoice written as CII and read back."""
+    return _flat_invoices(_parsed(render.cii_xml(_prepared(spark, sf_dir))))
+
+
+def _mixed_xml(prepared: DataFrame) -> DataFrame:
+    """UBL for even, CII for odd order keys: one CASE over the row, so each invoice is written once."""
+    return render.mixed_xml(prepared)
+
+
+def syntax_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages and rendered invoices as files; pages are no invoices and other extensions have no reader."""
+    pages = synth.table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("seite_"), F.col("page_id"), F.when(F.col("page_id") % 2 == 0, ".XML").otherwise(".html")).alias("file_name"),
+        F.col("html").cast("binary").alias("content"))
+    invoices = _mixed_xml(_prepared(spark, sf_dir)).select(
+        F.concat(F.lit("inv_"), F.col("doc_id"), F.lit(".xml")).alias("file_name"), F.col("xml").cast("binary").alias("content"))
+    docs = pages.unionByName(invoices).select("file_name", F.col("file_name").alias("path"), extension(F.col("file_name")).alias("ext"),
+                                              F.sha2("content", 256).alias("sha256"), "content")
+    read = readers.read_all(docs, readers.builtin_readers(synth.settings()))
+    return read.select("file_name", "ext", "source_format", "read_status", "read_message")
+
+
+def _attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attachments of one PDF per order: a text file, a foreign XML file, the invoice, and sometimes a second copy of it."""
+    k = F.col("doc_id")
+    xml = _mixed_xml(_prepared(spark, sf_dir)).select("doc_id", F.col("xml").alias("xml"))
+    forbidden = F.concat(F.lit("<!DOCTYPE x [<!ENTITY e 'x'>]>\n"), F.regexp_replace("xml", r"^<\?xml[^>]*>\s*", ""))
+    rows = F.array(
+        F.struct(F.lit(1).alias("seq"), F.lit("notiz.txt").alias("name"), F.col("xml").alias("text")),
+        F.struct(F.lit(2).alias("seq"), F.lit("bestellung.xml").alias("name"), F.lit("<Order><Id>1</Id></Order>").alias("text")),
+        F.struct(F.lit(3).alias("seq"), F.when(k % 2 == 0, F.lit("Factur-X.xml")).otherwise(F.concat(F.lit("rechnungen/re_"), k, F.lit(".XML"))).alias("name"),
+                 F.when(k % 5 == 0, forbidden).otherwise(F.col("xml")).alias("text")),
+        F.struct(F.lit(4).alias("seq"), F.when(k % 4 < 2, F.lit("xrechnung.xml")).otherwise(F.lit("kopie.xml")).alias("name"),
+                 F.when(k % 3 == 0, F.lit("kein XML")).otherwise(F.col("xml")).alias("text")))
+    return (xml.select("doc_id", F.explode(rows).alias("a"))
+            .select(F.sha2(F.concat(F.lit("pdf|"), k).cast("binary"), 256).alias("sha256"), k.alias("doc_id"), "a.seq", "a.name", F.col("a.text").cast("binary").alias("content")))
+
+
+def embedded_xml_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which attachment of each PDF is read, and what the reader makes of it."""
+    read = attachments.parse_embedded(_attachments(spark, sf_dir))
+    return plain(read.select("doc_id", "seq", "name", "syntax", "profile", F.col("invoice.invoice_number").alias("invoice_number"),
+                             F.col("invoice.gross_total").alias("gross_total")))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two answers per order; the second one is right where the first misread a line (every 17th order)."""
+    headers, lines = synth.invoice_view(spark, sf_dir)
+    first = render.answer_json(render.prepared(headers, lines)).select("doc_id", F.lit(1).alias("attempt"), "json")
+    right = synth.printed_lines(synth.clean_lines(spark, sf_dir), misread=False)
+    second = render.answer_json(render.prepared(headers, right)).where("doc_id % 7 <> 0").select("doc_id", F.lit(2).alias("attempt"), "json")
+    return _as_answers(first.unionByName(second))
+
+
+def _as_answers(df: DataFrame) -> DataFrame:
+    k = F.col("doc_id")
+    first = F.col("attempt") == 1
+    none = F.lit(None).cast("string")
+    kind = F.when(first & (k % 37 == 0), "http").when(first & (k % 37 == 1), "network").when(first & (k % 37 == 2), "no_key")
+    text = (F.when(k % 47 == 0, F.lit("null")).when(k % 47 == 1, F.lit('{"is_invoice": tr'))
+            .when(k % 53 == 1, F.replace("json", F.lit('"is_invoice":true'), F.lit('"is_invoice":false')))
+            .when(k % 59 == 0, F.regexp_replace("json", r'"invoice_date":"[^"]*"', '"invoice_date":"31.12.2005"'))
+            .when(k % 61 == 0, F.regexp_replace("json", r'"due_date":"[^"]*"', '"due_date":"2005-02-30"')).otherwise(F.col("json")))
+    return df.select(
+        "doc_id", F.sha2(F.concat(F.lit("pdf|"), k).cast("binary"), 256).alias("sha256"), "attempt", kind.alias("error_kind"),
+        F.when(kind == "http", F.lit(" Anfrage abgelehnt \r\nDetails")).when(kind == "network", F.lit("Zeitüberschreitung")).alias("error"),
+        F.when(kind == "http", F.when(k % 2 == 0, 400).otherwise(500)).when(kind.isNull(), 200).alias("http_status"),
+        F.when(k % 43 == 0, "length").otherwise("stop").alias("finish_reason"), F.when(k % 41 == 0, "Nicht lesbar").otherwise(none).alias("refusal"),
+        F.lit("modell-1").alias("model"), (F.lit(2500) + k % 1000).alias("total_tokens"), F.when(kind.isNull(), text).alias("json"))
+
+
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every first answer classified and mapped."""
+    headers, lines = synth.invoice_view(spark, sf_dir)
+    first = render.answer_json(render.prepared(headers, lines)).select("doc_id", F.lit(1).alias("attempt"), "json")
+    df = _as_answers(first)
+    read = answers.read_answers(df.withColumn("sha256", F.col("doc_id").cast("string")))
+    return plain(read.select(F.col("sha256").cast("bigint").alias("doc_id"), "read_status", "read_message", "source_format", "description",
+                             F.col("invoice.invoice_number").alias("invoice_number"), F.col("invoice.currency").alias("currency"),
+                             F.col("invoice.due_date").alias("due_date"), F.col("invoice.gross_total").alias("gross_total"),
+                             F.size("invoice.lines").alias("line_count")))
+
+
+def second_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempt 2 replaces a first answer that fails the validation."""
+    df = _answers(spark, sf_dir).withColumn("sha256", F.col("doc_id").cast("string"))
+    out = answers.resolve_attempts(df, synth.settings())
+    return out.select(F.col("sha256").cast("bigint").alias("doc_id"), "read_status", "read_message", "second_read", F.size("errors").alias("error_count"), "description")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All deliveries as XML documents named by arrival."""
+    df = render.delivered(_prepared(spark, sf_dir))
+    xml = _mixed_xml(df)
+    name = F.concat(F.lit("inv_"), F.col("copy"), F.lit("_"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".xml"))
+    return xml.select("copy", name.alias("path"), name.alias("file_name"), F.lit(".xml").alias("ext"), F.sha2(F.col("xml").cast("binary"), 256).alias("sha256"),
+                      F.col("xml").cast("binary").alias("content"), (F.col("copy").cast("bigint") * synth.COPY_STRIDE + F.col("doc_id")).alias("arrival_seq"))
+
+
+def check_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read and validate every rendered invoice without storing it."""
+    docs = _mixed_xml(_prepared(spark, sf_dir)).select(
+        "doc_id", F.concat(F.lit("inv_"), F.col("doc_id"), F.lit(".xml")).alias("file_name"), F.lit(".xml").alias("ext"), F.lit("").alias("sha256"),
+        F.col("xml").cast("binary").alias("content"))
+    out = importing.check_run(docs.withColumn("path", F.col("doc_id").cast("string")), synth.settings())
+    return out.select(F.col("path").cast("bigint").alias("doc_id"), "result", "error_count", F.array_join(F.array_sort("errors"), "\n").alias("errors"))
+
+
+def xml_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 from XML documents: parse, validate, deduplicate all deliveries."""
+    batch = importing.import_batch(_documents(spark, sf_dir).drop("copy"), synth.settings(), at=RUN_TIME)
+    return batch.outcomes.select("arrival_seq", "status", "invoice_id", "source_format", "message")
+
+
+def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All deliveries packed into an inbox folder, imported by the stream in two runs; returns the log."""
+    root = scratch_path(spark, "stream")
+    store = Store(spark, f"{root}/store").create()
+    docs = _documents(spark, sf_dir).drop("arrival_seq").withColumn("in_run", F.col("copy"))
+    packed = staged(docs, "packed")
+    for run in (0, 1):
+        packed.where(F.col("in_run") == run).drop("in_run", "copy").write.mode("append").parquet(f"{root}/inbox")
+        inbox.start_import(inbox.watch_packed(spark, f"{root}/inbox"), store, synth.settings(), f"{root}/checkpoint", at=RUN_TIME).awaitTermination()
+    return store.table("processing_log").select("file_name", "status", "source_format", "errors")
+
+
 QUERIES = {f.__name__: f for f in (
     validation_report, invoice_totals, vat_breakdown, line_arithmetic_errors, header_checks, tax_checks, rejected_invoices,
     supplier_keys, invoice_number_keys, file_hash_duplicates, content_duplicates_lookup, sequential_dedup,
     import_outcomes, run_summary, item_texts, archive_paths, inbox_disposition, error_reports,
     report_invoices, report_lines, report_log, log_view, latest_invoices, latest_log, invoice_lines_of, integrity_audit,
+    ubl_round_trip, cii_round_trip, syntax_routing, embedded_xml_choice, model_answers, second_read, check_run, xml_import, stream_import,
 )}

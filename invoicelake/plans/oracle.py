@@ -272,6 +272,75 @@ def _rule_list(rules: str) -> str:
     return (f"(SELECT doc_id, string_agg(rule, ',' ORDER BY CAST(rule[2:] AS INT)) AS broken FROM er WHERE rule IN ({rules}) GROUP BY doc_id)")
 
 
+_LINE_ORDER = ("line_number, article_number, description, quantity, free_quantity, unit, unit_price, discount_percent, discount_amount NULLS FIRST, "
+               "net_amount, vat_rate NULLS FIRST, unit_code")
+
+
+def parsed(ubl: str) -> str:
+    """CTEs rl, rh: lines and headers as a reader gets them from the rendered XML; `ubl` tells which documents are UBL."""
+    return f""",
+rl AS (
+  SELECT doc_id, CAST(CASE WHEN doc_id % 8 = 1 THEN rn ELSE line_number END AS INT) AS line_number,
+         CASE WHEN doc_id % 14 = 3 THEN 'G-' ELSE '' END || article_number AS article_number, trim(description) AS description, quantity,
+         CASE WHEN {ubl} THEN 0 ELSE free_quantity END AS free_quantity, unit, unit_price,
+         CASE WHEN d IS NOT NULL AND doc_id % 10 <> 4 THEN discount_percent END AS discount_percent, d AS discount_amount,
+         CASE WHEN doc_id % 6 = 5 THEN CAST(round_even(quantity * unit_price - coalesce(d, 0), 2) AS DECIMAL(20,2)) ELSE net_amount END AS net_amount, vat_rate
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_LINE_ORDER}) AS rn,
+               nullif(coalesce(discount_amount, {pct('quantity * unit_price', 'discount_percent')}), 0) AS d FROM pl)),
+rh AS (
+  SELECT * EXCLUDE (r_net) REPLACE (trim(supplier_name) AS supplier_name, trim(invoice_number) AS invoice_number, r_net AS net_total,
+                    CASE WHEN doc_id % 7 = 5 THEN r_net + tax_total ELSE gross_total END AS gross_total)
+  FROM (
+    SELECT h.*, CASE doc_id % 7 WHEN 4 THEN coalesce(printed, 0) - allowance_total + charge_total
+                                WHEN 6 THEN coalesce(read, 0) - allowance_total + charge_total ELSE net_total END AS r_net
+    FROM hd h LEFT JOIN (SELECT doc_id, sum(net_amount) AS printed FROM pl GROUP BY 1) USING (doc_id)
+              LEFT JOIN (SELECT doc_id, sum(net_amount) AS read FROM rl GROUP BY 1) USING (doc_id)))
+"""
+
+
+_XML_FORMAT = ("CASE WHEN doc_id % 4 < 2 THEN 'XRechnung' ELSE 'E-Rechnung' END || CASE WHEN doc_id % 2 = 0 THEN ' UBL' ELSE ' CII' END")
+XML_ERRORS = VIEW + parsed("doc_id % 2 = 0") + errors("rl", "rh")
+XML_OUTCOMES = XML_ERRORS + deliveries("rh", _XML_FORMAT) + DECIDED
+
+_ROUND_HEADER = "supplier_name, supplier_vat_id, supplier_street, supplier_postal_code, supplier_city, invoice_number, invoice_date, due_date, currency, order_reference"
+
+
+def _round_trip(syntax: str, ubl: str) -> str:
+    return with_ctes(VIEW + parsed(ubl), f"""
+SELECT doc_id, '{syntax}' AS syntax, {_ROUND_HEADER}, {dbl('allowance_total', 'charge_total', 'net_total', 'tax_total', 'gross_total')},
+       line_number, article_number, description, {dbl('quantity', 'free_quantity')}, unit,
+       {dbl('unit_price', 'discount_percent', 'discount_amount', 'net_amount', 'vat_rate')}
+FROM rh LEFT JOIN rl USING (doc_id)""")
+
+
+# an: first answers classified (kind is null for readable ones)
+_READ_FAILED = "'Auslesen fehlgeschlagen: ' || "
+ANSWERS = VIEW + f""",
+an AS (
+  SELECT *, CASE
+    WHEN first AND doc_id % 37 = 0 AND doc_id % 2 = 0 THEN {_READ_FAILED}'OpenAI hat die Datei abgelehnt (400): Anfrage abgelehnt'
+    WHEN first AND doc_id % 37 = 0 THEN 'OpenAI-Fehler (500): Anfrage abgelehnt'
+    WHEN first AND doc_id % 37 = 1 THEN 'OpenAI nicht erreichbar: Zeitüberschreitung'
+    WHEN first AND doc_id % 37 = 2 THEN 'Kein OpenAI-API-Key konfiguriert (OpenAI:ApiKey oder OPENAI_API_KEY).'
+    WHEN doc_id % 41 = 0 THEN {_READ_FAILED}'OpenAI hat die Verarbeitung abgelehnt: Nicht lesbar'
+    WHEN doc_id % 43 = 0 THEN {_READ_FAILED}'Antwort von OpenAI wurde abgeschnitten (OpenAI:MaxOutputTokens erhöhen).'
+    WHEN doc_id % 47 = 0 THEN {_READ_FAILED}'Leere Antwort von OpenAI.'
+    WHEN doc_id % 47 = 1 THEN 'Unerwarteter Fehler: Antwort ist kein gültiges JSON.'
+    WHEN doc_id % 53 = 1 THEN {_READ_FAILED}'Das Dokument ist laut OpenAI keine Rechnung.'
+    WHEN doc_id % 59 = 0 THEN {_READ_FAILED}'Ungültiges Rechnungsdatum "31.12.2005".' END AS message,
+    first AND doc_id % 37 IN (0, 1, 2) AND NOT (doc_id % 37 = 0 AND doc_id % 2 = 0) AS again,
+    'PDF ohne E-Rechnungsdaten → ausgelesen mit OpenAI (modell-1, ' || replace(format('{{:,}}', 2500 + doc_id % 1000), ',', '.') || ' Tokens)' AS description
+  FROM hd, (SELECT true AS first UNION ALL SELECT false))
+"""
+
+
+def _error_counts(no_misread: bool) -> str:
+    """Errors per document, with or without the misread first line."""
+    view = VIEW.replace("doc_id % 17 = 0 AND line_number = 1 THEN 1 ELSE 0", "false THEN 1 ELSE 0") if no_misread else VIEW
+    trimmed = """, th AS (SELECT * REPLACE (trim(supplier_name) AS supplier_name, trim(invoice_number) AS invoice_number) FROM hd)"""
+    return f"({with_ctes(view + trimmed + errors('pl', 'th'), 'SELECT doc_id, CAST(count(*) AS INT) AS n FROM er GROUP BY doc_id')})"
+
+
 ORACLE: dict[str, str] = {
     "validation_report": with_ctes(ERRORS, "SELECT doc_id, section, line_number, rule, text FROM er"),
     "invoice_totals": with_ctes(VIEW, f"""
@@ -359,4 +428,49 @@ FROM sl WHERE invoice_id = 100"""),
 SELECT id, strftime(timezone('Europe/Berlin', timezone('UTC', processed_at)), '%Y-%m-%d %H:%M:%S') AS local_time, file_name, status,
        CASE status WHEN 'imported' THEN 'Importiert' WHEN 'duplicate' THEN 'Duplikat' WHEN 'validation_failed' THEN 'Prüfung fehlgeschlagen' ELSE 'Fehler' END AS status_text,
        CASE status WHEN 'imported' THEN 'Imported' WHEN 'duplicate' THEN 'Duplicate' ELSE 'Failed' END AS state FROM lg"""),
+    "ubl_round_trip": _round_trip("UBL", "true"),
+    "cii_round_trip": _round_trip("CII", "false"),
+    "syntax_routing": f"""
+SELECT 'inv_' || o_orderkey || '.xml' AS file_name, '.xml' AS ext, {_XML_FORMAT.replace('doc_id', 'o_orderkey')} AS source_format, 'ok' AS read_status, NULL AS read_message FROM orders
+UNION ALL SELECT 'seite_' || page_id || CASE WHEN page_id % 2 = 0 THEN '.XML' ELSE '.html' END, CASE WHEN page_id % 2 = 0 THEN '.xml' ELSE '.html' END, NULL, 'failed',
+  CASE WHEN page_id % 2 = 0 THEN 'Auslesen fehlgeschlagen: XML-Datei ist keine bekannte E-Rechnung (weder UBL noch CII).'
+       ELSE 'Dateiformat ".html" wird nicht unterstützt (PDF oder XML).' END FROM pages""",
+    "embedded_xml_choice": with_ctes(VIEW + parsed("doc_id % 2 = 0"), """
+SELECT doc_id, seq, CASE seq WHEN 3 THEN CASE WHEN doc_id % 2 = 0 THEN 'Factur-X.xml' ELSE 're_' || doc_id || '.XML' END
+                             ELSE CASE WHEN doc_id % 4 < 2 THEN 'xrechnung.xml' ELSE 'kopie.xml' END END AS name,
+       CASE WHEN doc_id % 2 = 0 THEN 'UBL' ELSE 'CII' END AS syntax,
+       CASE WHEN doc_id % 4 < 2 THEN 'urn:cen.eu:en16931:2017#compliant#urn:xeinkauf.de:kosit:xrechnung_3.0' ELSE 'urn:cen.eu:en16931:2017' END AS profile,
+       invoice_number, CAST(gross_total AS DOUBLE) AS gross_total
+FROM (SELECT *, CASE WHEN doc_id % 5 <> 0 AND (doc_id % 2 = 0 OR doc_id % 4 >= 2 OR doc_id % 3 = 0) THEN 3
+                     WHEN doc_id % 3 <> 0 THEN 4 WHEN doc_id % 5 <> 0 THEN 3 END AS seq FROM rh)
+WHERE seq IS NOT NULL"""),
+    "model_answers": with_ctes(ANSWERS, """
+SELECT doc_id, CASE WHEN again THEN 'retry' WHEN message IS NOT NULL THEN 'failed' ELSE 'ok' END AS read_status, message AS read_message,
+       CASE WHEN message IS NULL THEN 'PDF via OpenAI' END AS source_format, CASE WHEN message IS NULL THEN description END AS description,
+       CASE WHEN message IS NULL THEN trim(invoice_number) END AS invoice_number, CASE WHEN message IS NULL THEN currency END AS currency,
+       CASE WHEN message IS NULL AND doc_id % 61 <> 0 THEN due_date END AS due_date, CASE WHEN message IS NULL THEN CAST(gross_total AS DOUBLE) END AS gross_total,
+       CASE WHEN message IS NULL THEN CAST(coalesce(n, 0) AS INT) END AS line_count
+FROM an LEFT JOIN (SELECT doc_id, count(*) AS n FROM pl GROUP BY 1) USING (doc_id) WHERE first"""),
+    "second_read": with_ctes(ANSWERS + f""",
+e1 AS (SELECT * FROM {_error_counts(False)}), e2 AS (SELECT * FROM {_error_counts(True)}),
+rd AS (SELECT a.doc_id, a.message AS m1, a.again, a.description, b.message AS m2, coalesce(e1.n, 0) AS n1, coalesce(e2.n, 0) AS n2,
+              a.message IS NULL AND coalesce(e1.n, 0) > 0 AS reread
+       FROM an a JOIN an b ON a.doc_id = b.doc_id AND a.first AND NOT b.first LEFT JOIN e1 ON e1.doc_id = a.doc_id LEFT JOIN e2 ON e2.doc_id = a.doc_id)""", """
+SELECT doc_id, CASE WHEN reread THEN CASE WHEN doc_id % 7 = 0 THEN 'retry' WHEN m2 IS NOT NULL THEN 'failed' ELSE 'ok' END
+                    WHEN again THEN 'retry' WHEN m1 IS NOT NULL THEN 'failed' ELSE 'ok' END AS read_status,
+       CASE WHEN reread THEN CASE WHEN doc_id % 7 = 0 THEN 'Zweites Lesen steht noch aus.' ELSE m2 END ELSE m1 END AS read_message,
+       reread AND doc_id % 7 <> 0 AND m2 IS NULL AS second_read,
+       CASE WHEN reread AND doc_id % 7 <> 0 AND m2 IS NULL THEN n2 ELSE 0 END AS error_count,
+       CASE WHEN reread THEN CASE WHEN doc_id % 7 <> 0 AND m2 IS NULL THEN description || ' · zweimal gelesen' END WHEN m1 IS NULL THEN description END AS description
+FROM rd"""),
+    "check_run": with_ctes(XML_ERRORS, """
+SELECT doc_id, CASE WHEN n IS NULL THEN 'valid' ELSE 'validation_failed' END AS result, coalesce(n, 0) AS error_count, coalesce(errors, '') AS errors
+FROM rh LEFT JOIN (SELECT doc_id, CAST(count(*) AS INT) AS n, string_agg(text, chr(10) ORDER BY text) AS errors FROM er GROUP BY 1) USING (doc_id)"""),
+    "xml_import": with_ctes(XML_OUTCOMES.replace("'inv_' || doc_id || '.xml' AS file_name", "'inv_' || copy || '_' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.xml' AS file_name"),
+                            "SELECT arrival_seq, status, invoice_id, source_format, message FROM oo", recursive=True),
+    "stream_import": with_ctes(XML_OUTCOMES, """
+SELECT 'inv_' || (arrival_seq // 1000000000000) || '_' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.xml' AS file_name, status, source_format,
+       CASE WHEN status = 'validation_failed' THEN errors END AS errors
+FROM oo LEFT JOIN (SELECT doc_id, string_agg(text, chr(10) ORDER BY section, line_number, CASE WHEN section = 2 THEN rn END, CAST(rule[2:] AS INT)) AS errors
+                   FROM (SELECT *, 0 AS rn FROM er) GROUP BY 1) USING (doc_id)""", recursive=True),
 }

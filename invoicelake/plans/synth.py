@@ -54,8 +54,11 @@ def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calculated_lines(lines)
 
 
-def printed_lines(clean: DataFrame) -> DataFrame:
-    """Lines as printed: faults on single lines, half of the documents with discount amounts."""
+def printed_lines(clean: DataFrame, misread: bool = True) -> DataFrame:
+    """Lines as printed: faults on single lines, a third of the documents with discount amounts.
+
+    `misread` puts the first line of every 17th document off by 1.00.
+    """
     from ..functions.labels import unit_text
 
     def first(n: int) -> Column:
@@ -69,7 +72,7 @@ def printed_lines(clean: DataFrame) -> DataFrame:
         unit_text(F.col("unit_code")).alias("unit"),
         "unit_code", "unit_price", "discount_percent",
         F.when(every(3), F.col("line_discount")).cast(AMOUNT).alias("discount_amount"),
-        (F.col("line_net") + F.when(first(17), 1).otherwise(0)).cast(AMOUNT).alias("net_amount"),
+        (F.col("line_net") + F.when(first(17) & F.lit(misread), 1).otherwise(0)).cast(AMOUNT).alias("net_amount"),
         F.when(~first(11), F.col("vat_rate")).alias("vat_rate"),
     )
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .lookup import HOT_ROWS, anti_lookup, left_lookup, union_all
+from .lookup import HOT_ROWS, anti_lookup, hot_keys, left_lookup, union_all
 
 FOLD_ROWS = 256
 BROADCAST_KEYS = 100_000
@@ -78,11 +78,11 @@ def _rounds(edges: DataFrame, hot_rows: int) -> DataFrame:
                .drop("first_at_amount"))
         new = cut(new)
         imported.append(new.select("arrival_seq", *s_node, "invoice_date", "stored_gross"))
-        rest = anti_lookup(undecided, new, s_node, "s_rows", hot_rows)
+        rest = anti_lookup(undecided, new, s_node, hot_keys(new, s_node, hot_rows, "s_rows"))
         # An amount can be occupied by several imported documents when their gross total is finer than cents.
-        amounts = (new.groupBy(*g_node).agg(F.min("arrival_seq").alias("occupied_from"), F.max("g_rows").alias("g_rows"))
-                   .withColumn("g_rows", F.coalesce("g_rows", F.lit(hot_rows))))
-        rest = left_lookup(rest, amounts, g_node, "g_rows", hot_rows)
+        amounts = new.groupBy(*g_node).agg(F.min("arrival_seq").alias("occupied_from"), F.max("g_rows").alias("g_rows"))
+        hot = hot_keys(amounts, g_node, hot_rows, "g_rows")
+        rest = left_lookup(rest, amounts.drop("g_rows"), g_node, hot)
         undecided = cut(rest.where(F.col("occupied_from").isNull() | ~F.col("exact") | (F.col("occupied_from") > F.col("arrival_seq")))
                         .select(*columns))
     return union_all(imported)
@@ -115,7 +115,7 @@ def find_duplicates(candidates: DataFrame, invoices: DataFrame, hot_rows: int =
     """`candidates` plus `hit`: the matching stored invoice with the lowest id, or null.
 
     Instead of joining on the number key and testing the OR per pair, the two alternatives are two lookups, each
-    against a side with one row per full key.
+    against a side with one row per full key. `candidates` is read several times: pass a checkpointed table.
     """
     s_key = ["number_key", "supplier_key"]
     g_key = ["number_key", "invoice_date", "gross_total"]
@@ -125,14 +125,8 @@ def find_duplicates(candidates: DataFrame, invoices: DataFrame, hot_rows: int =
     by_supplier = stored.groupBy(*s_key).agg(F.min_by(_hit(), "id").alias("s_hit"))
     by_amount = (stored.withColumn("gross_total", F.col("gross_total").cast(gross_type))
                  .groupBy(*g_key).agg(F.min_by(_hit(), "id").alias("g_hit")))
-    found = lookup_side(candidates, by_supplier, s_key, hot_rows)
-    found = lookup_side(found, by_amount, g_key, hot_rows)
+    found = left_lookup(candidates, by_supplier, s_key, hot_keys(candidates, s_key, hot_rows))
+    found = left_lookup(found, by_amount, g_key, hot_keys(candidates, g_key, hot_rows))
     hit = (F.when(F.col("g_hit").isNull() | (F.col("s_hit.id") <= F.col("g_hit.id")), F.col("s_hit"))
            .otherwise(F.col("g_hit")))
     return found.withColumn("hit", hit).drop("s_hit", "g_hit")
-
-
-def lookup_side(left: DataFrame, right: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """left_lookup where the row counts per key come from the left side itself."""
-    counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("left_rows"))
-    return left_lookup(left, right.join(counted, on), on, "left_rows", hot_rows)

@@ -1,9 +1,9 @@
 """Joins against a side with one row per key, safe when one key holds a large share of the other side.
 
-A plain shuffle join would send all rows of a hot key to one task. Here `right` carries, per key, the number of rows the
-left side has for it (a by-product of the aggregation that made `right`). Keys above `hot_rows` are broadcast - there are
-at most (left rows / hot_rows) of them, about ten thousand keys for ten billion rows - and only the remaining keys,
-each with a bounded number of rows, are shuffled.
+A plain shuffle join would send all rows of a hot key to one task. So the rows per key are counted first (a partial
+aggregation, or a by-product of one that ran anyway). Without hot keys - the usual case - the join is a plain one. With
+hot keys the left side is split: rows of hot keys meet a broadcast of just those keys, of which there are at most
+(left rows / hot_rows), about ten thousand for ten billion rows; the other rows are shuffled as usual.
 """
 
 from __future__ import annotations
@@ -13,27 +13,34 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 HOT_ROWS = 1_000_000
 
 
-def left_lookup(left: DataFrame, right: DataFrame, on: list[str], rows: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """left LEFT JOIN right; `right` is unique on `on`; `rows` is dropped from the result."""
-    hot = right.where(F.col(rows) > hot_rows).drop(rows)
-    cold = right.where(F.col(rows) <= hot_rows).drop(rows)
-    return (left.join(F.broadcast(hot), on, "inner")
-            .unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, "left")))
+def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS, rows: str | None = None) -> DataFrame | None:
+    """The keys with more than hot_rows rows, or None. `rows` names a column that already holds the count per key."""
+    counted = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")) if rows is None else df.withColumn("_rows", F.col(rows))
+    hot = cut(counted.where(F.col("_rows") > hot_rows).select(*on))
+    return None if hot.isEmpty() else hot
 
 
-def anti_lookup(left: DataFrame, right: DataFrame, on: list[str], rows: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Left rows whose key is not in `right`."""
-    hot = right.where(F.col(rows) > hot_rows).select(*on)
-    cold = right.where(F.col(rows) <= hot_rows).select(*on)
-    return left.join(F.broadcast(hot), on, "left_anti").join(cold, on, "left_anti")
+def left_lookup(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:
+    """left LEFT JOIN right, where `right` has one row per key."""
+    if hot is None:
+        return left.join(right, on, "left")
+    keys = F.broadcast(hot)
+    few = F.broadcast(right.join(keys, on, "left_semi"))
+    return left.join(keys, on, "left_semi").join(few, on, "left").unionByName(left.join(keys, on, "left_anti").join(right, on, "left"))
 
 
-def semi_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of a large stored table whose key occurs in the batch; a small batch is broadcast by adaptive execution."""
-    return df.join(keys.select(*on).distinct(), on, "left_semi")
+def anti_lookup(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:
+    """Left rows whose key is not in `right`."""
+    keys = right.select(*on)
+    if hot is None:
+        return left.join(keys, on, "left_anti")
+    few = F.broadcast(keys.join(F.broadcast(hot), on, "left_semi"))
+    return left.join(few, on, "left_anti").join(keys.join(F.broadcast(hot), on, "left_anti"), on, "left_anti")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -11,7 +11,8 @@ from ..functions.keys import invoice_number_key, supplier_key
 from ..functions.labels import archive_path
 from ..functions.text import stem
 from ..schemas import INVOICES_TABLE, LINES_TABLE, LOG_STATUSES, LOG_TABLE, to_storage
-from .lookup import left_lookup
+from ..session import cut
+from .lookup import hot_keys, left_lookup
 
 REPORT_SUFFIX = ".fehler.txt"
 
@@ -67,10 +68,12 @@ def inbox_manifest(outcomes: DataFrame, taken: DataFrame, at: datetime) -> DataF
     """
     moved = outcomes.withColumn("disposition", disposition(F.col("status")))
     names = moved.where(F.col("disposition").isin("duplicates", "failed")).groupBy("disposition", "file_name").agg(
-        F.min("arrival_seq").alias("first_seq"), F.count(F.lit(1)).alias("same_name"), F.count(F.lit(1)).alias("rows"))
+        F.min("arrival_seq").alias("first_seq"), F.count(F.lit(1)).alias("same_name"))
     names = names.join(taken.select("disposition", "file_name").distinct().withColumn("exists", F.lit(True)),
                        ["disposition", "file_name"], "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
-    found = left_lookup(moved, names, ["disposition", "file_name"], "rows")
+    names = cut(names)
+    on = ["disposition", "file_name"]
+    found = left_lookup(moved, names, on, hot_keys(names, on, rows="same_name"))
     is_first = F.col("arrival_seq") == F.col("first_seq")
     free = is_first & ~F.col("exists")
     alone = F.when(F.col("exists"), is_first).otherwise(F.col("same_name") == 2)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,9 +133,17 @@ TOTAL_RULES = [
 
 def _findings(rules: list[Rule], get: Access, settings: Settings, line_number: Column) -> Column:
     """array<struct<rule,line_number,text>> of the broken rules, in rule order."""
-    made = [F.when(r.broken(get, settings), F.struct(F.lit(r.code).alias("rule"), line_number.cast("int").alias("line_number"),
+    return F.array_compact(F.array(*_candidates(rules, get, settings, line_number)))
+
+
+def _candidates(rules: list[Rule], get: Access, settings: Settings, line_number: Column) -> list[Column]:
+    """One nullable finding per rule."""
+    return [F.when(r.broken(get, settings), F.struct(F.lit(r.code).alias("rule"), line_number.cast("int").alias("line_number"),
                                                      r.text(get, settings).alias("text"))) for r in rules]
-    return F.array_compact(F.array(*made))
+
+
+def count_broken(rules: list[Rule], get: Access, settings: Settings) -> Column:
+    return reduce(lambda a, b: a + b, [F.when(r.broken(get, settings), 1).otherwise(0) for r in rules])
 
 
 def line_findings(get: Access, settings: Settings) -> Column:
@@ -203,9 +212,10 @@ def vat_groups(lines: DataFrame, doc: str = "doc_id", net: str = "net_amount", r
             .agg(F.sum(net).cast(_SUM).alias("net"), F.count(F.lit(1)).alias("lines")))
 
 
-def flat_totals(groups: DataFrame, doc: str = "doc_id") -> DataFrame:
+def flat_totals(groups: DataFrame, doc: str = "doc_id", *more: Column) -> DataFrame:
     """Per-document sums from the per-rate groups."""
     return groups.groupBy(doc).agg(
+        *more,
         F.sum("lines").alias("line_count"),
         F.sum("net").cast(_SUM).alias("line_sum"),
         F.count("vat_rate").alias("rate_count"),
@@ -217,7 +227,10 @@ def flat_totals(groups: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def with_totals(headers: DataFrame, lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Headers with the sums of their lines; one row per document on both sides of the join."""
-    totals = flat_totals(vat_groups(lines, doc), doc)
+    return _join_totals(headers, flat_totals(vat_groups(lines, doc), doc), doc)
+
+
+def _join_totals(headers: DataFrame, totals: DataFrame, doc: str) -> DataFrame:
     return (headers.join(totals, doc, "left")
             .withColumn("line_count", F.coalesce("line_count", F.lit(0)))
             .withColumn("line_sum", F.coalesce("line_sum", F.lit(0).cast(_SUM)))
@@ -225,18 +238,24 @@ def with_totals(headers: DataFrame, lines: DataFrame, doc: str = "doc_id") -> Da
             .withColumn("has_open_rate", F.coalesce("has_open_rate", F.lit(False))))
 
 
+def _found(df: DataFrame, doc: str, section: int, candidates: list[Column]) -> DataFrame:
+    """One row per finding. The rules are evaluated once, in a projection: a filter on them would be pushed below the
+    projections that made its inputs, repeating their arithmetic."""
+    rows = df.select(doc, F.explode(F.array(*candidates)).alias("f")).where(F.col("f").isNotNull())
+    return rows.select(doc, F.lit(section).alias("section"), "f.line_number", "f.rule", "f.text")
+
+
 def flat_line_errors(lines: DataFrame, settings: Settings, doc: str = "doc_id") -> DataFrame:
-    """One row per broken line rule; a filter over the lines, no shuffle."""
-    found = lines.select(doc, F.explode(line_findings(F.col, settings)).alias("f"))
-    return found.select(doc, F.lit(2).alias("section"), "f.line_number", "f.rule", "f.text")
+    """One row per broken line rule; no shuffle."""
+    return _found(lines, doc, 2, _candidates(LINE_RULES + settings.extra_line_rules, F.col, settings, F.col("line_number")))
 
 
 def flat_header_errors(totals: DataFrame, settings: Settings, doc: str = "doc_id") -> DataFrame:
-    """One row per broken header or total rule."""
-    opening = F.transform(opening_findings(F.col, settings), lambda f: F.struct(F.lit(1).alias("section"), f["rule"].alias("rule"), f["text"].alias("text")))
-    closing = F.transform(closing_findings(F.col, settings), lambda f: F.struct(F.lit(3).alias("section"), f["rule"].alias("rule"), f["text"].alias("text")))
-    found = totals.select(doc, F.explode(F.concat(opening, closing)).alias("f"))
-    return found.select(doc, "f.section", F.lit(None).cast("int").alias("line_number"), "f.rule", "f.text")
+    """One row per broken header or total rule; both sections come from one pass over the headers."""
+    opening = _candidates(HEADER_RULES, F.col, settings, F.lit(None))
+    closing = _candidates(TOTAL_RULES + settings.extra_header_rules, F.col, settings, F.lit(None))
+    codes = [r.code for r in HEADER_RULES]
+    return _found(totals, doc, 3, opening + closing).withColumn("section", F.when(F.col("rule").isin(codes), 1).otherwise(3))
 
 
 def flat_errors(headers: DataFrame, lines: DataFrame, settings: Settings, doc: str = "doc_id") -> DataFrame:
@@ -245,11 +264,10 @@ def flat_errors(headers: DataFrame, lines: DataFrame, settings: Settings, doc: s
 
 
 def flat_error_counts(headers: DataFrame, lines: DataFrame, settings: Settings, doc: str = "doc_id") -> DataFrame:
-    """Headers with `error_count`, counting line errors per document with a partial aggregation."""
-    broken = F.size(line_findings(F.col, settings))
-    line_counts = (lines.select(doc, broken.alias("n")).where("n > 0").groupBy(doc).agg(F.sum("n").alias("line_errors")))
-    totals = with_totals(headers, lines, doc)
-    own = F.size(opening_findings(F.col, settings)) + F.size(closing_findings(F.col, settings))
-    return (totals.withColumn("own_errors", own).join(line_counts, doc, "left")
-            .withColumn("error_count", (F.col("own_errors") + F.coalesce("line_errors", F.lit(0))).cast("int"))
-            .drop("own_errors", "line_errors"))
+    """Headers with `error_count`. Sums and line errors come from one pass over the lines."""
+    broken = count_broken(LINE_RULES + settings.extra_line_rules, F.col, settings)
+    groups = lines.groupBy(doc, F.col("vat_rate").cast("decimal(9,4)").alias("vat_rate")).agg(
+        F.sum("net_amount").cast(_SUM).alias("net"), F.count(F.lit(1)).alias("lines"), F.sum(broken).alias("line_errors"))
+    totals = _join_totals(headers, flat_totals(groups, doc, F.sum("line_errors").alias("line_errors")), doc)
+    own = count_broken(HEADER_RULES + TOTAL_RULES + settings.extra_header_rules, F.col, settings)
+    return (totals.withColumn("error_count", (own + F.coalesce("line_errors", F.lit(0))).cast("int")).drop("line_errors"))

@@ -12,7 +12,7 @@ from ..functions.keys import alphanumeric_upper, invoice_number_key, supplier_ke
 from ..functions.text import extension
 from ..operators import dedup, outcome, sinks, totals, validate
 from ..operators.audit import integrity_audit as audit_tables
-from ..operators.lookup import left_lookup
+from ..operators.lookup import hot_keys, left_lookup
 from ..operators.store import Store
 from ..schemas import HEADER_COLUMNS, LINE_COLUMNS
 from ..session import cut, scratch_path, staged
@@ -107,8 +107,8 @@ def file_hash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identical texts among the documents; every copy points to the first file of its content."""
     docs = synth.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("arrival_seq"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    contents = docs.groupBy("sha256").agg(F.min("arrival_seq").alias("first_seq"), F.count(F.lit(1)).alias("rows"))
-    copies = left_lookup(docs, contents, ["sha256"], "rows")
+    contents = cut(docs.groupBy("sha256").agg(F.min("arrival_seq").alias("first_seq"), F.count(F.lit(1)).alias("rows")))
+    copies = left_lookup(docs, contents.drop("rows"), ["sha256"], hot_keys(contents, ["sha256"], rows="rows"))
     return copies.select("arrival_seq", F.format_string("doc_%d.txt", F.col("arrival_seq")).alias("file_name"), "sha256", "first_seq",
                          (F.col("arrival_seq") != F.col("first_seq")).alias("is_copy"))
 
@@ -125,7 +125,7 @@ def content_duplicates_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = d.where("copy = 0").select(
         F.col("arrival_seq").alias("id"), "supplier_key", F.col("number_key").alias("invoice_number_key"), "invoice_date",
         F.col("gross_total").cast("decimal(18,2)").alias("gross_total"), "invoice_number", "supplier_name", F.col("file_name").alias("source_file"))
-    incoming = d.where("copy = 1").select("arrival_seq", "number_key", "supplier_key", "invoice_date", "gross_total")
+    incoming = cut(d.where("copy = 1").select("arrival_seq", "number_key", "supplier_key", "invoice_date", "gross_total"))
     found = dedup.find_duplicates(incoming, stored)
     return found.select("arrival_seq", F.col("hit.id").alias("duplicate_of"), F.col("hit.invoice_number").alias("their_number"),
                         F.col("hit.source_file").alias("their_file"))

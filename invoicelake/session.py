@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_scratch: list[str] = []
 
 
 def build_session(app: str = "invoicelake", master: str | None = None, shuffle_partitions: int | None = None,
@@ -46,20 +47,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one intermediate table."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/invoicelake/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so lost executors never restart the whole chain."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager)
-
+def staged(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write a table to the shared folder and read it back.
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: columnar, so later steps read only their columns."""
+    This cuts the lineage, so a lost executor never restarts the whole chain; the written table is columnar, so later
+    steps read only their columns, and its size is known, so the planner can tell small tables from large ones.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+cut = staged
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session; call it when no result that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    for path in _scratch:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _scratch.clear()

@@ -27,6 +27,7 @@ BROADCAST_KEYS = 100_000
 
 # A candidate: one valid document. gross_total keeps its full scale, the stored table rounds to cents.
 CANDIDATE_COLUMNS = ["arrival_seq", "number_key", "supplier_key", "invoice_date", "gross_total"]
+IMPORTED_COLUMNS = ["arrival_seq", "number_key", "supplier_key", "invoice_date", "stored_gross"]
 _STORED = "decimal(18,2)"
 
 
@@ -55,51 +56,46 @@ def _fold(edges: DataFrame) -> DataFrame:
         return F.when(taken, kept).otherwise(F.concat(kept, F.array(x)))
 
     kept = groups.select("number_key", F.explode(F.aggregate("items", empty, step)).alias("k"))
-    return kept.select("k.arrival_seq", "number_key", "k.supplier_key", "k.invoice_date", "k.stored_gross")
+    return kept.select("k.arrival_seq", "number_key", "k.supplier_key", "k.invoice_date", "k.stored_gross").select(*IMPORTED_COLUMNS)
 
 
-def _rounds(edges: DataFrame, hot_rows: int) -> DataFrame:
-    """Imported documents of large number keys, by rounds of aggregations over the undecided ones."""
+def _round(undecided: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """One round over the undecided documents of large number keys: (imported, still undecided)."""
     s_node = ["number_key", "supplier_key"]
     g_node = ["number_key", "invoice_date", "stored_gross"]
-    columns = ["arrival_seq", "number_key", "supplier_key", "invoice_date", "stored_gross", "exact"]
-    undecided = cut(edges.select(*columns))
-    imported: list[DataFrame] = []
-    while not undecided.isEmpty():
-        first = F.min(F.struct("arrival_seq", "supplier_key", "invoice_date", "stored_gross", "exact"))
-        by_s = undecided.groupBy(*s_node).agg(
-            F.min(F.struct("arrival_seq", "invoice_date", "stored_gross", "exact")).alias("f"), F.count(F.lit(1)).alias("s_rows"))
-        by_g = undecided.groupBy(*g_node).agg(first.alias("f"), F.count(F.lit(1)).alias("g_rows"))
-        first_s = by_s.select("number_key", "supplier_key", "f.*", "s_rows")
-        first_g = by_g.select(F.col("f.arrival_seq").alias("arrival_seq"), F.lit(True).alias("first_at_amount"), "g_rows")
-        # Arrival numbers are unique, so this join has no hot key.
-        new = (first_s.join(first_g, "arrival_seq", "left")
-               .where(~F.col("exact") | F.coalesce("first_at_amount", F.lit(False)))
-               .drop("first_at_amount"))
-        new = cut(new)
-        imported.append(new.select("arrival_seq", *s_node, "invoice_date", "stored_gross"))
-        rest = anti_lookup(undecided, new, s_node, hot_keys(new, s_node, hot_rows, "s_rows"))
-        # An amount can be occupied by several imported documents when their gross total is finer than cents.
-        amounts = new.groupBy(*g_node).agg(F.min("arrival_seq").alias("occupied_from"), F.max("g_rows").alias("g_rows"))
-        hot = hot_keys(amounts, g_node, hot_rows, "g_rows")
-        rest = left_lookup(rest, amounts.drop("g_rows"), g_node, hot)
-        undecided = cut(rest.where(F.col("occupied_from").isNull() | ~F.col("exact") | (F.col("occupied_from") > F.col("arrival_seq")))
-                        .select(*columns))
-    return union_all(imported)
+    by_s = undecided.groupBy(*s_node).agg(
+        F.min(F.struct("arrival_seq", "invoice_date", "stored_gross", "exact")).alias("f"), F.count(F.lit(1)).alias("s_rows"))
+    by_g = undecided.groupBy(*g_node).agg(F.min("arrival_seq").alias("arrival_seq"), F.count(F.lit(1)).alias("g_rows"))
+    first_s = by_s.select(*s_node, "f.*", "s_rows")
+    first_g = by_g.select("arrival_seq", F.lit(True).alias("first_at_amount"), "g_rows")
+    # Arrival numbers are unique, so this join has no hot key.
+    new = cut(first_s.join(first_g, "arrival_seq", "left")
+              .where(~F.col("exact") | F.coalesce("first_at_amount", F.lit(False))).drop("first_at_amount"))
+    rest = anti_lookup(undecided, new, s_node, hot_keys(new, s_node, hot_rows, "s_rows"))
+    # An amount can be occupied by several imported documents when their gross total is finer than cents.
+    amounts = new.groupBy(*g_node).agg(F.min("arrival_seq").alias("occupied_from"), F.max("g_rows").alias("g_rows"))
+    rest = left_lookup(rest, amounts.drop("g_rows"), g_node, hot_keys(amounts, g_node, hot_rows, "g_rows"))
+    free = F.col("occupied_from").isNull() | ~F.col("exact") | (F.col("occupied_from") > F.col("arrival_seq"))
+    return new.select(*IMPORTED_COLUMNS), cut(rest.where(free).select(*undecided.columns))
 
 
 def greedy_imports(candidates: DataFrame, fold_rows: int = FOLD_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The imported documents among `candidates` (CANDIDATE_COLUMNS), as if processed one by one."""
-    edges = cut(collapse(candidates))
-    large = cut(edges.groupBy("number_key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > fold_rows))
-    n_large = large.count()
-    if n_large == 0:
-        return _fold(edges)
-    keys = large.select("number_key")
-    if n_large <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return _fold(edges.join(keys, "number_key", "left_anti")).unionByName(
-        _rounds(edges.join(keys, "number_key", "left_semi"), hot_rows))
+    """The imported documents among `candidates` (CANDIDATE_COLUMNS), as if processed one by one.
+
+    What a round leaves undecided no longer touches anything imported, so it is a smaller problem of the same kind:
+    number keys that have become small are folded, the others go into the next round.
+    """
+    undecided = cut(collapse(candidates))
+    imported: list[DataFrame] = []
+    while True:
+        large = cut(undecided.groupBy("number_key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > fold_rows).select("number_key"))
+        n_large = large.count()
+        if n_large == 0:
+            return union_all([*imported, _fold(undecided)])
+        keys = F.broadcast(large) if n_large <= BROADCAST_KEYS else large
+        imported.append(_fold(undecided.join(keys, "number_key", "left_anti")))
+        new, undecided = _round(cut(undecided.join(keys, "number_key", "left_semi")), hot_rows)
+        imported.append(new)
 
 
 # Lookup against stored invoices ------------------------------------------------------------------------------------
@@ -119,12 +115,16 @@ def find_duplicates(candidates: DataFrame, invoices: DataFrame, hot_rows: int =
     """
     s_key = ["number_key", "supplier_key"]
     g_key = ["number_key", "invoice_date", "gross_total"]
-    stored = (invoices.select(*STORED_COLUMNS).withColumnRenamed("invoice_number_key", "number_key")
-              .join(candidates.select("number_key").distinct(), "number_key", "left_semi"))
     gross_type = candidates.schema["gross_total"].dataType
-    by_supplier = stored.groupBy(*s_key).agg(F.min_by(_hit(), "id").alias("s_hit"))
-    by_amount = (stored.withColumn("gross_total", F.col("gross_total").cast(gross_type))
-                 .groupBy(*g_key).agg(F.min_by(_hit(), "id").alias("g_hit")))
+    stored = (invoices.select(*STORED_COLUMNS).withColumnRenamed("invoice_number_key", "number_key")
+              .withColumn("gross_total", F.col("gross_total").cast(gross_type)))
+
+    def side(key: list[str], name: str) -> DataFrame:
+        # Only stored invoices whose whole key occurs in the batch; a small batch is broadcast by adaptive execution.
+        own = stored.join(candidates.select(*key).distinct(), key, "left_semi")
+        return own.groupBy(*key).agg(F.min_by(_hit(), "id").alias(name))
+
+    by_supplier, by_amount = side(s_key, "s_hit"), side(g_key, "g_hit")
     found = left_lookup(candidates, by_supplier, s_key, hot_keys(candidates, s_key, hot_rows))
     found = left_lookup(found, by_amount, g_key, hot_keys(candidates, g_key, hot_rows))
     hit = (F.when(F.col("g_hit").isNull() | (F.col("s_hit.id") <= F.col("g_hit.id")), F.col("s_hit"))

@@ -183,16 +183,27 @@ def _nested_totals(lines: Column) -> dict[str, Column]:
     }
 
 
-def nested_findings(invoice: Column, settings: Settings) -> Column:
-    """All findings of a nested invoice in reporting order; null when there is no invoice."""
-    lines = F.coalesce(invoice["lines"], F.array().cast(_lines_type()))
+def with_findings(df: DataFrame, settings: Settings, invoice: str = "invoice", out: str = "findings") -> DataFrame:
+    """Add all findings of a nested invoice in reporting order; null when there is no invoice.
+
+    The sums are a projection of their own: inside the rules they would be computed again for every mention.
+    """
+    lines = F.coalesce(F.col(invoice)["lines"], F.array().cast(_lines_type()))
     totals = _nested_totals(lines)
+    df = df.withColumn("_totals", F.struct(*[c.alias(n) for n, c in totals.items()]))
 
     def get(name: str) -> Column:
-        return totals[name] if name in totals else invoice[name]
+        return F.col("_totals")[name] if name in totals else F.col(invoice)[name]
 
     per_line = F.flatten(F.transform(lines, lambda l: line_findings(lambda name: l[name], settings)))
-    return F.when(invoice.isNotNull(), F.concat(opening_findings(get, settings), per_line, closing_findings(get, settings)))
+    found = F.concat(opening_findings(get, settings), per_line, closing_findings(get, settings))
+    return df.withColumn(out, F.when(F.col(invoice).isNotNull(), found)).drop("_totals")
+
+
+def with_errors(df: DataFrame, settings: Settings) -> DataFrame:
+    """Add `errors`: the texts of all findings, empty when there is nothing to check."""
+    texts = F.coalesce(F.transform("findings", lambda f: f["text"]), F.array().cast("array<string>"))
+    return with_findings(df, settings).withColumn("errors", texts).drop("findings")
 
 
 def _lines_type():
@@ -200,10 +211,6 @@ def _lines_type():
     return INVOICE["lines"].dataType
 
 
-def error_texts(findings: Column) -> Column:
-    return F.transform(findings, lambda f: f["text"])
-
-
 # Flat shape -------------------------------------------------------------------------------------------------------
 
 def vat_groups(lines: DataFrame, doc: str = "doc_id", net: str = "net_amount", rate: str = "vat_rate") -> DataFrame:

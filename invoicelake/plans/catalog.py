@@ -300,7 +300,7 @@ def syntax_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("inv_"), F.col("doc_id"), F.lit(".xml")).alias("file_name"), F.col("xml").cast("binary").alias("content"))
     docs = pages.unionByName(invoices).select("file_name", F.col("file_name").alias("path"), extension(F.col("file_name")).alias("ext"),
                                               F.sha2("content", 256).alias("sha256"), "content")
-    read = readers.read_all(docs, readers.builtin_readers(synth.settings()))
+    read = readers.read_all(docs, synth.settings(), readers.builtin_readers(synth.settings()))
     return read.select("file_name", "ext", "source_format", "read_status", "read_message")
 
 

@@ -22,7 +22,7 @@ def docs(spark, **files):
 
 
 def read(spark, **files):
-    out = readers.read_all(docs(spark, **files), readers.builtin_readers(SETTINGS))
+    out = readers.read_all(docs(spark, **files), SETTINGS, readers.builtin_readers(SETTINGS))
     return {r["path"]: r for r in out.collect()}
 
 
@@ -87,7 +87,7 @@ def row(sha, attempt, text, **more):
 
 def test_answers_and_second_read(spark):
     wrong, right = answer(tax="7.15"), answer()
-    rows = [row("once", 1, right), row("fixed", 1, wrong), row("fixed", 2, right), row("twice", 1, wrong), row("twice", 2, wrong), row("waits", 1, wrong),
+    rows = [row("once", 1, right), row("once", 1, right), row("fixed", 1, wrong), row("fixed", 2, right), row("twice", 1, wrong), row("twice", 2, wrong), row("waits", 1, wrong),
             row("unread", 1, wrong), row("unread", 2, None, error_kind="http", http_status=422, error="zu groß"), row("later", 1, wrong),
             row("later", 2, None, error_kind="network", error="weg"), row("spare", 1, right), row("spare", 2, wrong), row("nojson", 1, '{"a":'), row("null", 1, "null"),
             row("part", 1, answer(lines=None)), row("date", 1, answer(invoice_date="28.09.2026")), row("long", 1, right, finish_reason="length")]
@@ -105,9 +105,11 @@ def test_answers_and_second_read(spark):
 
 def test_embedded(spark):
     rows = [("p1", 1, "a.txt", ubl()), ("p1", 2, "b.xml", ubl("B")), ("p1", 3, "ZUGFeRD-invoice.xml", cii("Z")), ("p1", 4, "xrechnung.xml", ubl("X")),
-            ("p2", 1, "factur-x.xml", "<Order/>"), ("p2", 2, "dir/second.XML", ubl("S")), ("p3", 1, "x.xml", "<Order/>")]
+            ("p2", 1, "factur-x.xml", "<Order/>"), ("p2", 2, "dir/second.XML", ubl("S")), ("p3", 1, "x.xml", "<Order/>"), ("p2", 2, "dir/second.XML", ubl("S"))]
     df = spark.createDataFrame([(s, i, n, bytearray(c.encode())) for s, i, n, c in rows], "sha256 string, seq int, name string, content binary")
-    got = {r["sha256"]: r for r in attachments.read_embedded(df).collect()}
+    rows = attachments.read_embedded(df).collect()
+    got = {r["sha256"]: r for r in rows}
+    assert len(rows) == 2
     assert {k: r["invoice"]["invoice_number"] for k, r in got.items()} == {"p1": "Z", "p2": "S"}
     assert got["p2"]["description"] == "ZUGFeRD / Factur-X (PDF mit eingebetteter second.XML, Profil XRechnung) – strukturiert ausgelesen, ohne KI"
     assert got["p1"]["source_format"] == "ZUGFeRD PDF"
@@ -118,7 +120,7 @@ def test_pdf_routing(spark):
     sha = {r["path"]: r["sha256"] for r in pdfs.collect()}
     embedded = spark.createDataFrame([(sha["e__pdf"], 1, "factur-x.xml", bytearray(ubl("E").encode()))], "sha256 string, seq int, name string, content binary")
     model = spark.createDataFrame([row(sha["e__pdf"], 1, answer("M")), row(sha["m__pdf"], 1, answer("M"))], SCHEMA)
-    out = readers.read_all(pdfs, readers.builtin_readers(SETTINGS, embedded, model)).collect()
+    out = readers.read_all(pdfs, SETTINGS, readers.builtin_readers(SETTINGS, embedded, model)).collect()
     got = {r["path"]: (r["read_status"], r["source_format"], r["invoice"] and r["invoice"]["invoice_number"]) for r in out}
     assert got == {"e__pdf": ("ok", "ZUGFeRD PDF", "E"), "copy__PDF": ("ok", "ZUGFeRD PDF", "E"), "m__pdf": ("ok", "PDF via OpenAI", "M"), "x__pdf": ("retry", None, None)}
 
@@ -126,8 +128,8 @@ def test_pdf_routing(spark):
 def test_own_reader_comes_first(spark):
     def take(df):
         keep = [c for c in df.columns if c != "content"]
-        return readers._failed_as(df.select(*keep), "failed", F.lit("eigener Reader"))
+        return readers.unread(df.select(*keep), "failed", F.lit("eigener Reader"))
 
     own = readers.Reader("csv", lambda: F.col("ext") == ".csv", take)
-    out = readers.read_all(docs(spark, a__csv="x", b__xml=ubl()), [own, *readers.builtin_readers(SETTINGS)]).collect()
+    out = readers.read_all(docs(spark, a__csv="x", b__xml=ubl()), SETTINGS, [own, *readers.builtin_readers(SETTINGS)]).collect()
     assert {r["path"]: r["read_message"] for r in out} == {"a__csv": "eigener Reader", "b__xml": None}

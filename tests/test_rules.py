@@ -22,8 +22,8 @@ def value(spark, column):
 
 
 def findings(spark, *invoices, settings=SETTINGS):
-    rows = frame(spark, *invoices).select("doc_id", validate.nested_findings(F.col("invoice"), settings).alias("f")).orderBy("doc_id").collect()
-    return [[(f["rule"], f["text"]) for f in r["f"]] for r in rows]
+    rows = validate.with_findings(frame(spark, *invoices), settings).orderBy("doc_id").collect()
+    return [[(f["rule"], f["text"]) for f in r["findings"]] for r in rows]
 
 
 def test_keys(spark):

@@ -405,7 +405,8 @@ def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     for run in (0, 1):
         packed.where(F.col("in_run") == run).drop("in_run", "copy").write.mode("append").parquet(f"{root}/inbox")
         inbox.start_import(inbox.watch_packed(spark, f"{root}/inbox"), store, synth.settings(), f"{root}/checkpoint", at=RUN_TIME).awaitTermination()
-    return store.table("processing_log").select("file_name", "status", "source_format", "errors")
+    errors = F.array_join(F.array_sort(F.split("errors", "\n")), "\n")
+    return store.table("processing_log").select("file_name", "status", "source_format", errors.alias("errors"))
 
 
 QUERIES = {f.__name__: f for f in (

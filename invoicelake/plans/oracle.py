@@ -95,7 +95,7 @@ def errors(lines: str, headers: str) -> str:
     return f""",
 le AS (
   SELECT *, round(CAST(quantity AS DECIMAL(19,4)) * CAST(unit_price AS DECIMAL(19,2))
-                  - coalesce(discount_amount, {pct('quantity * unit_price', 'discount_percent')}), 2) AS expected
+                  - coalesce(discount_amount, {pct('quantity * unit_price', 'discount_percent')}, 0), 2) AS expected
   FROM {lines}),
 pg AS (SELECT doc_id, vat_rate, sum(net_amount) AS net, count(*) AS lines FROM {lines} GROUP BY ALL),
 pt AS (
@@ -471,6 +471,5 @@ FROM rh LEFT JOIN (SELECT doc_id, CAST(count(*) AS INT) AS n, string_agg(text, c
     "stream_import": with_ctes(XML_OUTCOMES, """
 SELECT 'inv_' || (arrival_seq // 1000000000000) || '_' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.xml' AS file_name, status, source_format,
        CASE WHEN status = 'validation_failed' THEN errors END AS errors
-FROM oo LEFT JOIN (SELECT doc_id, string_agg(text, chr(10) ORDER BY section, line_number, CASE WHEN section = 2 THEN rn END, CAST(rule[2:] AS INT)) AS errors
-                   FROM (SELECT *, 0 AS rn FROM er) GROUP BY 1) USING (doc_id)""", recursive=True),
+FROM oo LEFT JOIN (SELECT doc_id, string_agg(text, chr(10) ORDER BY text) AS errors FROM er GROUP BY 1) USING (doc_id)""", recursive=True),
 }

@@ -109,7 +109,7 @@ def archive_path(invoice_date: Column, sha256: Column, file_name: Column) -> Col
                        F.concat(F.substring(sha256, 1, 12), F.lit("_"), file_name))
 
 
-# Outcome messages -------------------------------------------------------------------------------------------------
+# The texts of the outcome messages -------------------------------------------------------------------------------------------------
 
 def msg_same_file(number: Column, invoice_id: Column) -> Column:
     return F.format_string("Identische Datei wurde bereits importiert (Rechnung %s, ID %d).", number, invoice_id)

@@ -98,6 +98,7 @@ def expected_tax(get: Access) -> Column:
             .when(_no_adjustments(get), get("rate_tax").cast("decimal(28,2)")))
 
 
+# The codes and the German texts of the rules.
 LINE_RULES = [
     Rule("V7", lambda g, s: is_blank(g("description")),
          lambda g, s: F.concat(_label(g), F.lit("Bezeichnung fehlt."))),

@@ -204,7 +204,7 @@ def error_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The stored view: every order as a stored invoice (id = order key) with its lines."""
     headers, lines = synth.invoice_view(spark, sf_dir)
-    invoices = sinks.invoice_rows(synth.deliveries(headers).where("copy = 0"), RUN_TIME)
+    invoices = sinks.invoice_rows(synth.first_deliveries(headers), RUN_TIME)
     rows = lines.withColumn("invoice_id", F.col("doc_id")).withColumn(
         "id", F.col("doc_id") * 8 + F.col("line_number"))
     return invoices, sinks.line_rows(rows)

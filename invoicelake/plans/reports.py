@@ -47,10 +47,12 @@ def report_invoices(invoices: DataFrame, lines: DataFrame, ordered: bool = True)
 
 
 def report_lines(invoices: DataFrame, lines: DataFrame, ordered: bool = True) -> DataFrame:
+    """Lines with their invoice's number. An invoice with very many lines is split by adaptive execution in the join, and
+    the line id as last sort key lets the sort split it as well."""
     numbers = invoices.select(F.col("id").alias("invoice_id"), F.col("invoice_number").alias("rechnungsnr"))
-    out = lines.drop("id").join(numbers, "invoice_id")
+    out = lines.join(numbers, "invoice_id")
     if ordered:
-        out = out.orderBy("invoice_id", "line_number")
+        out = out.orderBy("invoice_id", "line_number", "id")
     return out.select(
         "rechnungsnr", F.col("line_number").alias("pos"), F.col("article_number").alias("artikelnr"),
         F.col("description").alias("bezeichnung"), F.col("quantity").alias("menge"), F.col("free_quantity").alias("gratis"),

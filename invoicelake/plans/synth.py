@@ -11,7 +11,6 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import percent_of
 from ..operators.totals import calculated_lines, invoice_totals, rate_groups
 from ..operators.validate import Settings
 from ..schemas import AMOUNT, HEADER_COLUMNS, LINE_COLUMNS, PERCENT, PRICE, QUANTITY
@@ -125,9 +124,17 @@ def invoice_view(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 def deliveries(headers: DataFrame) -> DataFrame:
     """Every header delivered once, some twice: without VAT ID, as the identical file, or in another spelling."""
+    copies = F.when(F.col("doc_id") % 10 < 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return _as_delivered(headers.withColumn("copy", F.explode(copies)))
+
+
+def first_deliveries(headers: DataFrame) -> DataFrame:
+    """Every header delivered once."""
+    return _as_delivered(headers.withColumn("copy", F.lit(0)))
+
+
+def _as_delivered(out: DataFrame) -> DataFrame:
     kind = F.col("doc_id") % 10
-    copies = F.when(kind < 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    out = headers.withColumn("copy", F.explode(copies))
     again = F.col("copy") == 1
     vat, number = F.col("supplier_vat_id"), F.col("invoice_number")
     spelled_vat = F.concat(F.lower(F.substring(vat, 1, 2)), F.lit(" "), F.substring(vat, 3, 3), F.lit(" "), F.substring(vat, 6, 6))

@@ -68,6 +68,15 @@ def test_rejected(spark):
     assert messages["notiz__txt"] == 'Dateiformat ".txt" wird nicht unterstützt (PDF oder XML).'
 
 
+def test_unusual_prologs(spark):
+    """Long comments, processing instructions, quoted angle brackets; the whole prolog counts."""
+    got = read(spark, comment__xml=ubl(head="<!--" + "lang > " * 300_000 + "-->\n" + "<!-- x --><?a b?>\n" * 200),
+               quoted__xml=ubl().replace('xmlns:ubl="urn:ubl"', """note="a>b" more='c>"d' xmlns:ubl = "urn:ubl" """),
+               bare__xml=ubl(root="Invoice").replace("<Invoice ", "<Invoice\n\t"), other__xml="<!-- <Invoice/> --><Rechnung><Invoice/></Rechnung>", closed__xml="<Invoice/>")
+    assert {k: r["read_status"] for k, r in got.items()} == {"comment__xml": "ok", "quoted__xml": "ok", "bare__xml": "ok", "other__xml": "failed", "closed__xml": "failed"}
+    assert got["closed__xml"]["read_message"].endswith(einvoice.NO_DATE)
+
+
 def answer(number="RE-1", tax="8.15", **more):
     line = dict(line_number=1, article_number=None, description=" Papier ", quantity=10, free_quantity=0, unit="Pack", unit_price=4.29,
                 discount_percent=None, discount_amount=None, net_amount=42.90, vat_rate=19)

@@ -116,3 +116,11 @@ def test_summary(spark):
     got = {r["run"]: r["summary"] for r in outcome.run_summary(df, "run").collect()}
     assert got == {"a": "6 Datei(en) verarbeitet: 1 importiert, 1 Duplikat(e), 2 mit Fehler, 2 nicht verarbeitet.",
                    "b": "1 Datei(en) verarbeitet: 0 importiert, 1 Duplikat(e)."}
+
+
+def test_many_large_keys(spark, monkeypatch):
+    """More large number keys than may be broadcast: same result by plain joins."""
+    monkeypatch.setattr(dedup, "BROADCAST_KEYS", 0)
+    rows = random_rows(5, n=120)
+    got = dedup.greedy_imports(spark.createDataFrame(rows, CANDIDATE), 15)
+    assert {r["arrival_seq"] for r in got.collect()} == one_by_one(rows)

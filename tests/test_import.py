@@ -170,3 +170,13 @@ def test_calculated_totals(spark):
     assert got["mix"]["allowance_rejected"] and got["mix"]["has_free_goods"] and got["mix"]["net"] is None and got["mix"]["several_rates"]
     assert got["02"]["has_discount"] and not got["02"]["several_rates"] and got["none"]["gross"] == D(0)
     assert date(2026, 1, 1)
+
+
+def test_stream_cleans_its_folder(spark, tmp_path):
+    """Files of a finished run are deleted by the next one."""
+    store = Store(spark, str(tmp_path / "store")).create()
+    for name in ("A", "B"):
+        put(tmp_path / "in", **{f"{name}__xml": ubl(f"RE-{name}")})
+        start_import(watch_files(spark, str(tmp_path / "in"), clean="delete"), store, SETTINGS, str(tmp_path / "cp"), at=AT).awaitTermination()
+    assert {s for s, _ in log_of(store).values()} == {"imported"} and len(log_of(store)) == 2
+    assert "A.xml" not in {p.name for p in (tmp_path / "in").iterdir()}

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from invoicelake.llm import decontam, exact_dedup, jaccard_join
+from invoicelake.llm import decontam, exact_dedup, jaccard_join, pieces, quality
 from invoicelake.llm.words import table
 
 
+def op4_quality(spark, sf_dir):
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -18,7 +22,11 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op7_decontamination, op9_jaccard_join)}
+def op10_pieces(spark, sf_dir):
+    return pieces.tokens(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_quality, op5_exact_dedup, op7_decontamination, op9_jaccard_join, op10_pieces)}
 
 ORACLE = {
     "op5_exact_dedup": """

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from invoicelake.llm import decontam, exact_dedup, jaccard_join, pieces, quality
+from invoicelake.llm import decontam, exact_dedup, jaccard_join, pieces, quality, toxicity
 from invoicelake.llm.words import table
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_quality(spark, sf_dir):
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,7 +30,7 @@ def op10_pieces(spark, sf_dir):
     return pieces.tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality, op5_exact_dedup, op7_decontamination, op9_jaccard_join, op10_pieces)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_quality, op5_exact_dedup, op7_decontamination, op9_jaccard_join, op10_pieces)}
 
 ORACLE = {
     "op5_exact_dedup": """

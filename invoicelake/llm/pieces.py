@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from invoicelake.llm.words import Mapper, mapped, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MEMO_CHARS = 48
-MEMO_PARTS = 200_000
+MEMO_PARTS = 700_000
 BLANK = "▁"
 
 
@@ -63,32 +62,51 @@ class Vocabulary:
         """Work out the window, the cost of bytes, and whether texts can be taken apart at blanks."""
         self.window = max(map(len, self.piece), default=1)
         self.bytes_score = min((s for _, s in self.piece.values()), default=0.0) - 10.0
-        self.begins = {p[:k] for p in self.piece for k in range(1, len(p) + 1)}
+        #: every beginning of a piece, with id and score if it is a piece itself
+        self.begins = {p[:k]: self.piece.get(p[:k], ()) for p in self.piece for k in range(1, len(p) + 1)}
         apart = all(re.fullmatch(r" *[^ ]*", p) for p in self.piece) and not any("\n" in p for p in self.piece)
         self.parts = re.compile(r"\n| *[^ \n]+| +" if apart else r"(?s).+")
 
 
-class Encoder:
-    """Streaming Viterbi for one worker."""
+class Encoder(dict):
+    """Streaming Viterbi for one worker; as a dictionary it is the memory of parts, which fills itself."""
 
     def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
         self.v = vocabulary
-        self.memo: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as 32-bit integers."""
-        return b"".join([self._part(p) for p in self.v.parts.findall(" " + text)]) if text else b""
-
-    def _part(self, part: str) -> bytes:
-        ids = self.memo.get(part)
-        if ids is None:
-            ids = np.array(list(self.stream(part)), np.int32).tobytes()
-            if len(part) <= MEMO_CHARS:
-                if len(self.memo) >= MEMO_PARTS:
-                    self.memo.clear()
-                self.memo[part] = ids
+        return b"".join(map(self.__getitem__, self.v.parts.findall(" " + text))) if text else b""
+
+    def __missing__(self, part: str) -> bytes:
+        if len(part) > MEMO_CHARS:
+            return np.fromiter(self.stream(part), np.int32).tobytes()
+        ids = np.array(self.short(part), np.int32).tobytes()
+        if len(self) >= MEMO_PARTS:
+            self.clear()
+        self[part] = ids
         return ids
 
+    def short(self, text: str) -> list[int]:
+        """The search of `stream` for a part so short that nothing needs to be committed before its end."""
+        v, n = self.v, len(text)
+        get, window = v.begins.get, v.window
+        score, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
+        for i in range(n):
+            here = score[i]
+            if not get(text[i]):
+                total = here + v.bytes_score
+                if total > score[i + 1]:
+                    score[i + 1], back[i + 1] = total, (i, -1)
+            for j in range(i + 1, min(i + window, n) + 1):
+                hit = get(text[i:j])
+                if hit is None:
+                    break
+                if hit and here + hit[1] > score[j]:
+                    score[j], back[j] = here + hit[1], (i, hit[0])
+        return self._ids(text, back, 0, n)
+
     def stream(self, text: str):
         """Yield the ids; `score` and `back` only hold boundaries that are not committed."""
         v, n = self.v, len(text)
@@ -100,11 +118,11 @@ class Encoder:
             ways = [(1, here + v.bytes_score, -1)] if char not in v.piece else []
             for size in range(1, min(v.window, n - i) + 1):
                 piece = text[i:i + size]
-                if piece not in v.begins:
+                hit = v.begins.get(piece)
+                if hit is None:
                     break
-                if piece in v.piece:
-                    number, gain = v.piece[piece]
-                    ways.append((size, here + gain, number))
+                if hit:
+                    ways.append((size, here + hit[1], hit[0]))
             for size, total, number in ways:
                 if i + size not in score or total > score[i + size]:
                     score[i + size], back[i + size] = total, (i, number)
@@ -131,7 +149,7 @@ class Encoder:
             heads.add(back[last][0] if last > done else done)
         return max(done, heads.pop())
 
-    def _ids(self, text: str, back: dict, begin: int, end: int) -> list[int]:
+    def _ids(self, text: str, back, begin: int, end: int) -> list[int]:
         out: list[int] = []
         while end > begin:
             start, number = back[end]
@@ -218,7 +236,3 @@ def best_sum(vocabulary: Vocabulary, ids) -> float:
         total += len(run.decode()) * vocabulary.bytes_score + (name[i] if i is not None else 0.0)
         run = b""
     return total
-
-
-def boundaries(sizes: list[int]) -> list[tuple[int, int]]:
-    return list(pairwise(np.concatenate([[0], np.cumsum(sizes)]).tolist()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from invoicelake.llm import decontam, exact_dedup, jaccard_join, pieces, quality, toxicity
+from invoicelake.llm import decontam, exact_dedup, jaccard_join, pieces, quality, span_dedup, toxicity
 from invoicelake.llm.words import table
 
 
@@ -18,6 +18,10 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_span_dedup(spark, sf_dir):
+    return span_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
 
@@ -30,7 +34,7 @@ def op10_pieces(spark, sf_dir):
     return pieces.tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_quality, op5_exact_dedup, op7_decontamination, op9_jaccard_join, op10_pieces)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_quality, op5_exact_dedup, op6_span_dedup, op7_decontamination, op9_jaccard_join, op10_pieces)}
 
 ORACLE = {
     "op5_exact_dedup": """

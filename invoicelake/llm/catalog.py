@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from invoicelake.llm import decontam, exact_dedup, jaccard_join, pieces, quality, span_dedup, toxicity
+from invoicelake.llm import decontam, exact_dedup, jaccard_join, line_dedup, pieces, quality, span_dedup, toxicity, warc
 from invoicelake.llm.words import table
 
 
@@ -10,6 +10,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_quality(spark, sf_dir):
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +30,10 @@ def op7_decontamination(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
 
 
+def op8_line_dedup(spark, sf_dir):
+    return line_dedup.without_copies(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark, sf_dir):
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
@@ -34,9 +42,10 @@ def op10_pieces(spark, sf_dir):
     return pieces.tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_quality, op5_exact_dedup, op6_span_dedup, op7_decontamination, op9_jaccard_join, op10_pieces)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_warc, op4_quality, op5_exact_dedup, op6_span_dedup, op7_decontamination, op8_line_dedup, op9_jaccard_join, op10_pieces)}
 
 ORACLE = {
+    "op3_warc": warc.ORACLE,
     "op5_exact_dedup": """
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS s FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from invoicelake.llm import decontam, exact_dedup, jaccard_join, line_dedup, pieces, quality, span_dedup, toxicity, warc
+from invoicelake.llm import decontam, exact_dedup, jaccard_join, line_dedup, pieces, pii, quality, span_dedup, toxicity, warc
 from invoicelake.llm.words import table
 
 
+def op1_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,7 +46,7 @@ def op10_pieces(spark, sf_dir):
     return pieces.tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_warc, op4_quality, op5_exact_dedup, op6_span_dedup, op7_decontamination, op8_line_dedup, op9_jaccard_join, op10_pieces)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_warc, op4_quality, op5_exact_dedup, op6_span_dedup, op7_decontamination, op8_line_dedup, op9_jaccard_join, op10_pieces)}
 
 ORACLE = {
     "op3_warc": warc.ORACLE,

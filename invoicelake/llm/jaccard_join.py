@@ -6,7 +6,7 @@
    meet in a shuffle on (band, hash); each bucket only links its members to its smallest one, so a bucket of any size makes
    as many rows as it has members.
 3. The components of these links are the sets of classes among which candidate pairs can exist. Each is cut into blocks of
-   at most `BLOCK` classes, and every pair of blocks is one group of bounded size. A pair of classes is a candidate
+   at most `BLOCK` classes and about `BLOCK_BYTES` of text, and every pair of blocks is one group of bounded size. A pair of classes is a candidate
    if any band agrees; it is then verified on the full sets. Nothing is capped: a large component only makes more groups.
 4. A class learns its number of links by summing over the groups. The groups give a spanning forest of the links that
    they verified; the components of these edges are the result's classes.
@@ -19,6 +19,7 @@ other; null ids take part and come last in `class_id` (null only if all ids of t
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 MAX_HASHES = 128
 BLOCK = 256
-BLOCK_SHINGLES = 1 << 19
+BLOCK_BYTES = 2 << 20
 
 
 def plan_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -73,7 +74,7 @@ def _sets(width: int, bands: int, rows: int) -> Mapper:
                 marks[full] = band_hashes([sets[i] for i in full], bands, rows)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(c)) for c in ("id", "row")), pa.array(key, pa.binary()),
-                 lists([s.view(np.int64) for s in sets], pa.int64()), lists(list(marks.view(np.int64)), pa.int64())], ["id", "row", "key", "shingles", "bands"])
+                 lists(list(marks.view(np.int64)), pa.int64()), pa.array([len(t) for t in texts], pa.int64())], ["id", "row", "key", "bands", "size"])
     return run
 
 
@@ -85,7 +86,7 @@ def _key(shingles: np.ndarray) -> bytes | None:
     return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
-def _verify(threshold: float) -> callable:
+def _verify(threshold: float, width: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Counts and links for one group: the pairs within block x, or between blocks x and y."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
@@ -98,8 +99,11 @@ def _verify(threshold: float) -> callable:
             pair |= bands[left, k][:, None] == bands[right, k][None, :]
         if x == y:
             pair = np.triu(pair, 1)
-        size = np.array([len(s) for s in pdf["shingles"]], np.int64)
-        common = _common([pdf["shingles"].iloc[i] for i in left], [pdf["shingles"].iloc[i] for i in right], pair)
+        sets = shingle_sets(Words([(t or "").encode() for t in pdf["text"]]), width)
+        if any(_key(s) != bytes(k) for s, k in zip(sets, pdf["key"])):
+            raise RuntimeError("the documents changed between two scans")
+        size = np.array([len(s) for s in sets], np.int64)
+        common = _common([sets[i] for i in left], [sets[i] for i in right], pair)
         union = size[left][:, None] + size[right][None, :] - common
         linked = pair & (common >= threshold * union - 1e-9)
         count = np.zeros(len(pdf), np.int64)
@@ -154,7 +158,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE,
     """One row per row of `docs`: row, doc_id, class_row (first row of its class), n_copies, n_links."""
     bands, rows = plan_bands(threshold, recall, max_hashes)
     prepared = docs.select(F.col("doc_id").alias("id"), F.col("row"), F.col("text"))
-    sets = staged(mapped(prepared, _sets(width, bands, rows), f"id {dict(prepared.dtypes)['id']}, row long, key binary, shingles array<long>, bands array<long>"), "sets")
+    sets = staged(mapped(prepared, _sets(width, bands, rows), f"id {dict(prepared.dtypes)['id']}, row long, key binary, bands array<long>, size long"), "sets")
     copies = staged(sets.where("key is not null").groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n_copies")), "copies")
     member = sets.select("id", "row", "key").join(copies, "key", "left").select(
         "id", "row", F.coalesce("first", "row").alias("first"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
@@ -163,27 +167,30 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE,
     firsts = sets.join(copies.select(F.col("first").alias("row")), "row", "left_semi")
     marks = firsts.select("row", F.posexplode("bands").alias("band", "mark"))
     buckets = marks.groupBy("band", "mark").agg(F.min("row").alias("low"), F.count("*").alias("n")).where("n > 1")
-    stars = staged(marks.join(buckets, ["band", "mark"]).select("row", "low").where("row <> low").distinct(), "candidates")
-    groups = components(stars, "row", "low")
-    tiles = _tiles(groups, firsts)
-    verified = staged(tiles.groupBy("label", "x", "y").applyInPandas(_verify(threshold), "row long, links long, root long"), "verified")
+    # a row needs one link only; the smallest members of its other buckets are linked once for all rows that meet them
+    lows = staged(marks.join(buckets, ["band", "mark"]).groupBy("row").agg(F.array_sort(F.collect_set("low")).alias("lows")), "candidates")
+    hubs = lows.select("lows").distinct().select(F.explode("lows").alias("a"), F.col("lows")[0].alias("b"))
+    groups = components(lows.select(F.col("row").alias("a"), F.col("lows")[0].alias("b")).union(hubs))
+    tiles = _tiles(groups, firsts, docs)
+    verified = staged(tiles.groupBy("label", "x", "y").applyInPandas(_verify(threshold, width), "row long, links long, root long"), "verified")
     links = verified.groupBy("row").agg(F.sum("links").alias("n_links"))
     joined = components(verified.select("row", "root"), "row", "root")
     out = member.join(links.withColumnRenamed("row", "first"), "first", "left").join(joined.select(F.col("node").alias("first"), "label"), "first", "left")
     return out.select("row", F.col("id").alias("doc_id"), "first", F.coalesce("label", "first").alias("class_row"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _tiles(groups: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Cut each component into blocks of bounded members and shingles; each member goes to every pair with its block.
+def _tiles(groups: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Cut each component into blocks of bounded members and text; each member goes to every pair with its block.
 
     A member's block follows from the hash of its row, and the number of blocks from the size of its component.
     """
-    sized = staged(groups.join(firsts.select(F.col("row").alias("node"), F.size("shingles").alias("size")), "node"), "sizes")
-    totals = sized.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    sized = staged(groups.join(firsts.select(F.col("row").alias("node"), "size"), "node"), "sizes")
+    totals = sized.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
     placed = sized.join(totals, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select(F.col("node").alias("row"), "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    return pairs.join(firsts.select("row", "shingles", "bands"), "row")
+    # texts are smaller than their sets, so texts travel
+    return pairs.join(firsts.select("row", "key", "bands"), "row").join(docs.select("row", "text"), "row")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, recall: float = RECALL) -> DataFrame:

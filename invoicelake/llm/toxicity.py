@@ -49,13 +49,14 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def examples(docs: DataFrame, labels: DataFrame, size: int = LABELLED) -> DataFrame:
-    """doc_id, text, y of the examples: a bounded number of labelled rows that are not held out."""
+    """text and y of the examples, equal ones once: a bounded number of labelled rows that are not held out."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("y"))
     picked = None
     for y in (0, 1):
         part = rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
         picked = part if picked is None else picked.union(part)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * size rows
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * size rows
+    return found.select(F.coalesce("text", F.lit("")).alias("text"), "y").distinct()
 
 
 def _terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -83,16 +84,15 @@ def _distinct(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return t[order], h[order], times[order], plain[order]
 
 
-def _example_words(batches):
+def _example_counts(batches):
+    """(word, plain, clean, toxic): in how many examples of either class each term occurs."""
     for batch, texts in text_slices(batches):
-        words = Words(texts)
-        t, h, n, plain = _distinct(*_terms(words))
-        first = np.searchsorted(t, np.arange(len(texts) + 1))
-        cut = [slice(a, b) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("y")),
-                                          pa.array([h[c].view(np.int64) for c in cut], pa.list_(pa.int64())),
-                                          pa.array([n[c].astype(np.int32) for c in cut], pa.list_(pa.int32())),
-                                          pa.array([plain[c].view(np.int64) for c in cut], pa.list_(pa.int64()))], ["doc_id", "y", "words", "times", "plain"])
+        t, h, _, plain = _distinct(*_terms(Words(texts)))
+        y = np.array(batch.column(1).to_pylist(), np.int64)[t] if len(t) else t
+        word, first, group = np.unique(h, return_index=True, return_inverse=True)
+        toxic = np.bincount(group, y, len(word)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(plain[first].view(np.int64)),
+                                          pa.array(np.bincount(group, minlength=len(word)) - toxic), pa.array(toxic)], ["word", "plain", "clean", "toxic"])
 
 
 def choose_terms(counts: DataFrame, clean: int, toxic: int, terms: int = TERMS) -> tuple[np.ndarray, np.ndarray]:
@@ -223,22 +223,19 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = LABELLED, terms: int = T
     from invoicelake.session import staged
 
     spark = docs.sparkSession
-    chosen = staged(mapped(examples(docs, labels, size), _example_words, "doc_id long, y int, words array<long>, times array<int>, plain array<long>"), "examples")
+    chosen = staged(examples(docs, labels, size), "examples")
     sizes = {r["y"]: r["count"] for r in chosen.groupBy("y").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
         return Model(Vectors(np.empty(0, np.uint64), np.empty(0, np.uint64)), Index([], np.empty(0), 0), toxic / max(1, clean + toxic))
-    chosen = staged(chosen.dropDuplicates(["y", "words", "times"]), "examples")
-    sizes = {r["y"]: r["count"] for r in chosen.groupBy("y").count().collect()}
-    clean, toxic = sizes[0], sizes[1]
-    each = chosen.select("y", F.explode(F.arrays_zip("words", "plain")).alias("t")).select("y", F.col("t.words").alias("word"), F.col("t.plain").alias("plain"))
-    counts = each.groupBy("word", "plain").agg(F.sum(1 - F.col("y")).alias("clean"), F.sum("y").alias("toxic"))
+    counts = mapped(chosen, _example_counts, "word long, plain long, clean long, toxic long")
+    counts = counts.groupBy("word", "plain").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     vectors = Vectors(*choose_terms(counts, clean, toxic, terms))
     frequency, n_docs = document_frequency(docs, vectors)
     vectors.idf = np.log((1 + n_docs) / (1 + frequency)) + 1
     shared = spark.sparkContext.broadcast(vectors)
     rows, y = [], []
-    for doc in mapped(chosen.drop("plain"), _projected(shared), "doc_id long, y int, terms array<int>, times array<int>").orderBy("doc_id", "y").toLocalIterator():
+    for doc in mapped(chosen, _projected(shared), "y int, terms array<int>, times array<int>").orderBy("y", "terms", "times").toLocalIterator():
         rows.append((np.array(doc["terms"], np.int64), np.array(doc["times"], np.float64)))
         y.append(doc["y"])
     y = np.array(y)
@@ -270,15 +267,14 @@ def _entry_keys(index: Index, vectors: list) -> list[bytes]:
 
 
 def _projected(shared) -> Mapper:
+    """The vocabulary terms of every example."""
     def run(batches):
-        for batch in batches:
-            terms, times = [], []
-            for words, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                _, at, m = shared.value.find(np.zeros(len(words), np.int64), np.array(words, np.int64).view(np.uint64), np.array(n, np.int32))
-                order = np.argsort(at)
-                terms.append(at[order].astype(np.int32))
-                times.append(m[order])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], ["doc_id", "y", "terms", "times"])
+        for batch, texts in text_slices(batches):
+            t, at, n = shared.value.find(*_distinct_of(shared.value, Words(texts)))
+            order = np.lexsort((at, t))
+            first = np.searchsorted(t, np.arange(len(texts) + 1)).tolist()
+            lists = [[x[order][a:b].astype(np.int32) for a, b in zip(first[:-1], first[1:])] for x in (at, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x, pa.list_(pa.int32())) for x in lists)], ["y", "terms", "times"])
     return run
 
 

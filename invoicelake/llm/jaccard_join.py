@@ -189,8 +189,8 @@ def _tiles(groups: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
     placed = sized.join(totals, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select(F.col("node").alias("row"), "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    # texts are smaller than their sets, so texts travel
-    return pairs.join(firsts.select("row", "key", "bands"), "row").join(docs.select("row", "text"), "row")
+    # texts are smaller than their sets, so texts travel; doc_id goes along as both scans must read the same columns
+    return pairs.join(firsts.select("row", "key", "bands"), "row").join(docs.select("row", "text", "doc_id"), "row")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, recall: float = RECALL) -> DataFrame:

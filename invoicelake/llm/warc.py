@@ -154,12 +154,14 @@ def _row(path: str, n: int, raw: int) -> pa.RecordBatch:
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """One row per file written: path, n_records, raw_bytes. Of equal payloads of at least `min_bytes` the smallest page_id is stored."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"))
-    keys = staged(rows.select("page_id", "row", F.sha1("html").alias("digest"), F.xxhash64("html").alias("check"), F.octet_length("html").alias("size")), "payloads")
+    keys = staged(rows.select("page_id", "row", F.sha1("html").alias("digest"), F.xxhash64("html").alias("check"), F.octet_length("html").alias("size"),
+                              F.xxhash64("page_id", "url", "html").alias("whole")), "payloads")
     best = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
     firsts = keys.where(F.col("size") >= min_bytes).groupBy("digest", "check", "size").agg(F.min(best).alias("first"))
     kept = F.concat(F.lit("urn:page:"), F.coalesce(F.col("first.page_id").cast("string"), F.lit("")), F.lit(":"), F.col("first.row"))
-    plan = keys.join(firsts, ["digest", "check", "size"], "left").select("row", "check", F.when(F.col("first.row") != F.col("row"), kept).alias("refers"))
-    same = F.when(F.col("check") == F.xxhash64("html"), F.col("html")).otherwise(F.raise_error(F.lit("the pages changed between two scans")))
+    plan = keys.join(firsts, ["digest", "check", "size"], "left").select("row", "whole", F.when(F.col("first.row") != F.col("row"), kept).alias("refers"))
+    # both scans read the same columns, so that rows keep their numbers; whole rows are compared to be sure
+    same = F.when(F.col("whole") == F.xxhash64("page_id", "url", "html"), F.col("html")).otherwise(F.raise_error(F.lit("the pages changed between two scans")))
     joined = rows.join(staged(plan, "plan"), "row").select(F.col("page_id").cast("long").alias("page_id"), "row", "url", same.alias("html"), "refers")
     _make(pages, folder)
     return staged(mapped(joined, _write(folder), "path string, n_records long, raw_bytes long"), "archives")

@@ -8,7 +8,7 @@ are the terms that go with the label among the examples (`MIN_GAIN` nats of evid
 
 Index. For every term the examples that hold it, in blocks of `BLOCK` examples, with the largest weight per block. For a
 query the sum of (query weight * block maximum) bounds every cosine in a block. Blocks are scored in falling order of their
-bound until the bound is below the k-th best cosine, so the k nearest are exact. Examples with equal vectors are one entry
+bound, some at a time, until the bound is below the k-th best cosine, so the k nearest are exact. Examples with equal vectors are one entry
 with two counts, and entries are laid out by their heaviest term, which keeps the bounds tight.
 
 Score. Neighbours vote with their cosine: the vote is the toxic share of the weights, drawn towards the share among
@@ -41,6 +41,7 @@ REPEATS = (2, 3, 5)
 MIN_GAIN, MIN_ODDS = 10.0, 3.0
 PRIOR_WEIGHT = 0.1
 DECISION = 0.7
+REMEMBERED = 50_000
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -151,33 +152,36 @@ class Index:
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: tuple | None = None) -> list[tuple[float, int, int]]:
         """(cosine, entry, examples) of the k nearest examples with a positive cosine; `without` is one example to leave out."""
-        bound = np.zeros(self.blocks)
-        for t, w in zip(term.tolist(), weight.tolist()):
-            a, b = self.block_first[t], self.block_first[t + 1]
-            bound[self.block[a:b]] += w * self.highest[a:b]
-        best: list[tuple[float, int, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or (sum(n for _, _, n in best) >= k and bound[block] < best[-1][0] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(term.tolist(), weight.tolist()):
-                i = self.block_first[t] + np.searchsorted(self.block[self.block_first[t]:self.block_first[t + 1]], block)
-                if i < self.block_first[t + 1] and self.block[i] == block:
-                    a, b = self.start[i], self.start[i + 1]
-                    score[self.entry[a:b] - block * BLOCK] += w * self.weight[a:b]
-            for j in np.flatnonzero(score > 0).tolist():
-                e = block * BLOCK + j
-                n = int(self.clean[e] + self.toxic[e]) - (without is not None and without[0] == e)
-                if n:
-                    best.append((float(score[j]), e, n))
-            best.sort(key=lambda x: (-round(x[0], 12), x[1]))
-            total = 0
-            for i, (_, _, n) in enumerate(best):
-                total += n
-                if total >= k:
-                    best = best[:i + 1]
-                    break
-        return best
+        at, query = _ranges(self.block_first[term], self.block_first[term + 1], weight)
+        bound = np.bincount(self.block[at], query * self.highest[at], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        cosine, entry, n = np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+        done, step, least = 0, 4, 0.0
+        while done < len(order) and bound[order[done]] >= least - 1e-12:
+            chosen = np.zeros(self.blocks, bool)
+            chosen[order[done:done + step]] = True
+            of = chosen[self.block[at]]
+            posting, w = _ranges(self.start[at[of]], self.start[at[of] + 1], query[of])
+            score = np.bincount(self.entry[posting], w * self.weight[posting], self.n)
+            new = np.flatnonzero(score > 0)
+            copies = self.clean[new] + self.toxic[new] - (new == without[0] if without is not None else 0)
+            cosine, entry, n = np.concatenate([cosine, score[new]]), np.concatenate([entry, new]), np.concatenate([n, copies])
+            best = np.lexsort((entry, -np.round(cosine, 12)))
+            best = best[n[best] > 0]
+            total = np.cumsum(n[best])
+            if len(total) and total[-1] >= k:
+                best = best[:int(np.searchsorted(total, k)) + 1]
+                least = cosine[best[-1]]
+            cosine, entry, n = cosine[best], entry[best], n[best]
+            done, step = done + step, step * 4
+        return list(zip(cosine.tolist(), entry.tolist(), n.tolist()))
+
+
+def _ranges(first: np.ndarray, end: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges, one range after the other, and the weight of each position's range."""
+    size = end - first
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size), np.repeat(weight, size)
 
 
 class Model:
@@ -312,6 +316,7 @@ def _distinct_of(vectors: Vectors, words: Words) -> tuple[np.ndarray, np.ndarray
 def _score(shared) -> Mapper:
     def run(batches):
         model: Model = shared.value
+        known: dict[bytes, tuple[float, int, float]] = {}  # results of vectors seen in this task
         for batch, texts in text_slices(batches):
             words = Words(texts)
             t, h, n = _distinct_of(model.vectors, words)
@@ -320,10 +325,14 @@ def _score(shared) -> Mapper:
             first = np.searchsorted(t, np.arange(len(texts) + 1)).tolist()
             score, near, top = [], [], []
             for a, b in zip(first[:-1], first[1:]):
-                found = model.index.nearest(term[a:b], weight[a:b]) if b > a else []
-                score.append(model.score(model.vote(found)) if found else model.score(model.prior))
-                near.append(len(found))
-                top.append(found[0][0] if found else 0.0)
+                key = _key(term[a:b], weight[a:b])
+                if key not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    found = model.index.nearest(term[a:b], weight[a:b]) if b > a else []
+                    known[key] = model.score(model.vote(found) if found else model.prior), len(found), found[0][0] if found else 0.0
+                for column, value in zip((score, near, top), known[key]):
+                    column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(near, pa.int32()), pa.array(top, pa.float64())], ["doc_id", "score", "n_near", "best_cosine"])
     return run
 

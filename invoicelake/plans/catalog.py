@@ -409,10 +409,28 @@ def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.table("processing_log").select("file_name", "status", "source_format", errors.alias("errors"))
 
 
+def store_two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch and two streams, each with batch number 0, fill one store; its log, and the stored rows and lines of each logged invoice."""
+    root = scratch_path(spark, "writers")
+    store = Store(spark, f"{root}/store").create()
+    packed = staged(_documents(spark, sf_dir), "packed")
+    half = packed.agg(F.expr("(min(arrival_seq) filter (where copy = 1) + max(arrival_seq)) div 2")).first()[0]
+    columns = [c for c in packed.columns if c not in ("copy", "arrival_seq")]
+    importing.import_into(store, 0, packed.where("copy = 0").select(*columns), synth.settings(), at=RUN_TIME)
+    for name, part in (("low", F.col("arrival_seq") <= half), ("high", F.col("arrival_seq") > half)):
+        packed.where((F.col("copy") == 1) & part).select(*columns).write.parquet(f"{root}/{name}")
+        inbox.start_import(inbox.watch_packed(spark, f"{root}/{name}"), store, synth.settings(), f"{root}/checkpoint-{name}", at=RUN_TIME).awaitTermination()
+    stored = store.table("invoices").groupBy(F.col("id").alias("invoice_id")).agg(F.count(F.lit(1)).alias("stored"))
+    lines = store.table("invoice_lines").groupBy("invoice_id").agg(F.count_distinct("id").alias("line_ids"), F.count(F.lit(1)).alias("lines"))
+    log = store.table("processing_log").join(stored, "invoice_id", "left").join(lines, "invoice_id", "left")
+    return log.select("file_name", "status", F.coalesce("stored", F.lit(0)).alias("stored"), F.coalesce(F.col("line_ids") == F.col("lines"), F.lit(False)).alias("has_lines"))
+
+
 QUERIES = {f.__name__: f for f in (
     validation_report, invoice_totals, vat_breakdown, line_arithmetic_errors, header_checks, tax_checks, rejected_invoices,
     supplier_keys, invoice_number_keys, file_hash_duplicates, content_duplicates_lookup, sequential_dedup,
     import_outcomes, run_summary, item_texts, archive_paths, inbox_disposition, error_reports,
     report_invoices, report_lines, report_log, log_view, latest_invoices, latest_log, invoice_lines_of, integrity_audit,
     ubl_round_trip, cii_round_trip, syntax_routing, embedded_xml_choice, model_answers, second_read, check_run, xml_import, stream_import,
+    store_two_writers,
 )}

@@ -472,4 +472,8 @@ FROM rh LEFT JOIN (SELECT doc_id, CAST(count(*) AS INT) AS n, string_agg(text, c
 SELECT 'inv_' || (arrival_seq // 1000000000000) || '_' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.xml' AS file_name, status, source_format,
        CASE WHEN status = 'validation_failed' THEN errors END AS errors
 FROM oo LEFT JOIN (SELECT doc_id, string_agg(text, chr(10) ORDER BY text) AS errors FROM er GROUP BY 1) USING (doc_id)""", recursive=True),
+    "store_two_writers": with_ctes(XML_OUTCOMES, """
+SELECT 'inv_' || (arrival_seq // 1000000000000) || '_' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.xml' AS file_name, status,
+       CAST(invoice_id IS NOT NULL AS BIGINT) AS stored, invoice_id IS NOT NULL AS has_lines
+FROM oo""", recursive=True),
 }

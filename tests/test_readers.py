@@ -68,6 +68,22 @@ def test_rejected(spark):
     assert messages["notiz__txt"] == 'Dateiformat ".txt" wird nicht unterstützt (PDF oder XML).'
 
 
+def test_numbers_out_of_range(spark):
+    """A number no stored table can hold is the fault of its document; the others go on."""
+    base = ubl()
+    total = '<cbc:LineExtensionAmount currencyID="EUR">738.40</cbc:LineExtensionAmount>'
+    many = base.replace(">10</cbc:InvoicedQuantity>", ">1000000000</cbc:InvoicedQuantity>").replace(">7384</cbc:PriceAmount>", ">10000000000</cbc:PriceAmount>")
+    per_six = (base.replace(">10</cbc:InvoicedQuantity>", ">10000000</cbc:InvoicedQuantity>").replace(">7384</cbc:PriceAmount>", ">1</cbc:PriceAmount>")
+               .replace(">100</cbc:BaseQuantity>", ">6</cbc:BaseQuantity>").replace("738.40", "1666666.67").replace("140.30", "316666.67").replace("878.70", "1983333.34"))
+    got = read(spark, good__xml=base, many__xml=many, open__xml=many.replace(total, ""), rate__xml=base.replace(">19<", ">1900<"), six__xml=per_six,
+               date__xml=base.replace("2026-09-28", "2026-09-28kaputt"), zone__xml=base.replace("2026-09-28", "2026-09-28+02:00"),
+               zeros__xml=base.replace("<cbc:ID>1</cbc:ID>", "<cbc:ID>000000000007</cbc:ID>"))
+    failed = {k: r["read_message"].removeprefix("Auslesen fehlgeschlagen: ") for k, r in got.items() if r["read_status"] == "failed"}
+    assert failed == {"many__xml": einvoice.OUT_OF_RANGE, "open__xml": einvoice.OUT_OF_RANGE, "rate__xml": einvoice.OUT_OF_RANGE, "date__xml": einvoice.NO_DATE}
+    assert got["six__xml"]["errors"] == [] and got["good__xml"]["errors"] == []
+    assert got["zone__xml"]["invoice"]["invoice_date"] == date(2026, 9, 28) and got["zeros__xml"]["invoice"]["lines"][0]["line_number"] == 7
+
+
 def test_unusual_prologs(spark):
     """Long comments, processing instructions, quoted angle brackets; the whole prolog counts."""
     got = read(spark, comment__xml=ubl(head="<!--" + "lang > " * 300_000 + "-->\n" + "<!-- x --><?a b?>\n" * 200),

@@ -176,6 +176,27 @@ def test_spans_against_brute_force(spark):
     assert {r.doc_id: [x.strip() for x in re.findall(r"[^.]+\.", r.text)] for r in got} == want
 
 
+def test_passages_of_51_words_go_whatever_surrounds_them(spark):
+    rng = random.Random(10)
+    def some(n, end=""):
+        return " ".join(f"w{rng.randrange(10**9)}" for _ in range(n)) + end
+    bare, two = some(60), some(30, ". ") + some(30, ".")
+    four = [some(10), some(14, ". "), some(14, ". "), some(12)]
+    wide = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(60))
+    docs = {}
+    for k, passage in enumerate((bare, two, "".join(four[:1]) + ". " + "".join(four[1:]), wide)):
+        for copy in (0, 1, 2):
+            docs[10 * k + copy] = f"{some(7 + 12 * copy)} {passage} {some(9 + 5 * copy)}" if passage is not wide else f"{some(2)} {some(1)}{passage}{some(3)}"
+    got = {r.doc_id: r for r in span_dedup.without_repeats(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)).collect()}
+    word = re.compile("[0-9a-z]+|[\u3000-\u9fff]")
+    for i, text in docs.items():
+        left, first = word.findall(got[i].text), word.findall(docs[i - i % 10])
+        runs = {tuple(first[k:k + 51]) for k in range(len(first) - 50)}
+        mine = set(word.findall(text)) - set(first)
+        assert i % 10 == 0 and got[i].text == text or mine <= set(left) and not any(tuple(left[k:k + 51]) in runs for k in range(len(left) - 50))
+        assert i % 10 == 0 or len(set(left) & set(first)) < 2 * span_dedup.WINDOW
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 5])
 def test_line_runs_against_brute_force(spark, size):
     rng = random.Random(size)

@@ -14,15 +14,14 @@ Of a passage of 51 words (2 * `WINDOW` + `MIN_WORDS` - 1 = 50, or more) two docu
 words or more, and all of that run goes; less than `WINDOW` words at either end of a passage can stay, none if it begins and ends
 with a sentence. Sentences shared whole go when they are `SPAN` or have `MIN_WORDS` words together.
 
-Only (hash, doc_id) pairs are shuffled for the join, one per document and different span, counted with partial aggregation,
-so a passage that a third of the documents share is never gathered. A document then gets the list of its repeated hashes
-(bounded by its length) and is cut in one pass.
+Only (hash, row) pairs are shuffled to find the hashes of several rows, one per row and different span, counted with
+partial aggregation, so a passage that a third of the documents share is never gathered. A row then gets the list of
+its repeated hashes (bounded by its length) and is cut in one pass.
 
 Cases: null and empty texts and texts of fewer than `SPAN` sentences and `MIN_WORDS` words have no spans and stay as they are (null
 becomes empty); sentences without words belong to the sentence before. Characters of scripts written without white space
-(U+3000 to U+9FFF) are words of their own. Rows with the same doc_id are one document to this
-operator: a passage is no repeat of the other row's. Null doc_ids come after all others and are one document. Columns other
-than doc_id and text are ignored by the report.
+(U+3000 to U+9FFF) are words of their own. Null doc_ids come after all others; rows that repeat a doc_id, or have none, are
+rows of their own, and the one of the smallest row number is first. Columns other than doc_id and text are ignored by the report.
 """
 
 from __future__ import annotations
@@ -38,7 +37,6 @@ from invoicelake.session import staged
 SPAN = 3
 MIN_WORDS = 25
 WINDOW = 13
-LAST = (1 << 63) - 1
 _STOP = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 _WHITE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
 
@@ -103,19 +101,19 @@ class Sentences:
 
 
 def _spans(span: int, min_words: int) -> Mapper:
-    """One row per document and different span."""
+    """(row, doc, check, span): one per row and different span."""
     def run(batches):
         for batch, texts in text_slices(batches):
             s = Sentences(Units(texts), span, min_words)
             order = np.lexsort((s.span, s.of))
             t, h = s.of[order], s.span[order]
             keep = np.concatenate([[True], (t[1:] != t[:-1]) | (h[1:] != h[:-1])]) if len(t) else np.empty(0, bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t[keep])), pa.array(h[keep].view(np.int64))], ["doc", "span"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(t[keep])) for c in range(3)), pa.array(h[keep].view(np.int64))], ["row", "doc", "check", "span"])
     return run
 
 
 def _cut(span: int, min_words: int) -> Mapper:
-    """Remove the words of repeats; `repeats` are the hashes that belong to another document."""
+    """Remove the words of repeats; `repeats` are the hashes that belong to another row."""
     def run(batches):
         for batch, texts in text_slices(batches):
             words = Units(texts)
@@ -156,18 +154,22 @@ def _cut(span: int, min_words: int) -> Mapper:
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, repeats): for every document the spans it shares with a document of a smaller id. `doc` is never null."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
-    spans = staged(mapped(rows, _spans(span, min_words), "doc long, span long"), "spans")
-    owners = spans.groupBy("span").agg(F.min("doc").alias("owner"), F.max("doc").alias("other")).where("owner <> other").select("span", "owner")
-    foreign = spans.join(owners, "span").where("doc <> owner").select("doc", "span").distinct()
-    return foreign.groupBy("doc").agg(F.collect_list("span").alias("repeats"))
+    """(row, check, repeats): for every row the spans it shares with a row of a smaller doc_id, or of the same and a smaller row. `docs` has row."""
+    rows = docs.select("row", F.col("doc_id").alias("doc"), F.xxhash64("text").alias("check"), "text")
+    spans = staged(mapped(rows, _spans(span, min_words), f"row long, doc {dict(rows.dtypes)['doc']}, check long, span long"), "spans")
+    shared = spans.groupBy("span").count().where("count > 1").select("span")
+    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "row").alias("place")
+    copies = staged(spans.join(shared, "span").select("span", "row", "check", place), "copies")
+    firsts = copies.groupBy("span").agg(F.min("place").alias("first"))
+    return copies.join(firsts, "span").where("not (place <=> first)").groupBy("row").agg(F.first("check").alias("check"), F.collect_list("span").alias("repeats"))
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row of `docs`: doc_id, n_sentences, n_removed (whole sentences), removed (code points), text (what is left)."""
-    found = repeated_spans(docs, span, min_words)
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"))
-    joined = rows.join(found, "doc", "left").select("doc_id", "text", "repeats")
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    found = repeated_spans(rows, span, min_words)
+    same = F.col("check").isNull() | F.col("check").eqNullSafe(F.xxhash64("text"))
+    repeats = F.when(same, F.col("repeats")).otherwise(F.raise_error(F.lit("the documents changed between two scans")))
+    joined = rows.join(found, "row", "left").select("doc_id", "text", repeats.alias("repeats"))
     kind = f"doc_id {dict(rows.dtypes)['doc_id']}, n_sentences long, n_removed long, removed array<struct<start:int,end:int>>, text string"
     return mapped(joined, _cut(span, min_words), kind)

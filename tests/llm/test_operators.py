@@ -197,6 +197,15 @@ def test_passages_of_51_words_go_whatever_surrounds_them(spark):
         assert i % 10 == 0 or len(set(left) & set(first)) < 2 * span_dedup.WINDOW
 
 
+def test_passages_repeated_among_rows_without_an_id_go(spark):
+    passage = " ".join(f"p{k}" for k in range(60)) + "."
+    rows = [(None, f"a{k}. {passage} b{k}.") for k in range(4)] + [(7, f"c{k}. other {passage.replace('p', 'q')} d{k}.") for k in range(3)] + [(None, "c. " + passage.replace("p", "q"))]
+    got = span_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sum("p30" in r.text for r in got) == 1
+    assert [r.doc_id for r in got if "q30" in r.text] == [7]
+    assert len(got) == 8 and all(f"b{k}." in " ".join(r.text for r in got) for k in range(4))
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 5])
 def test_line_runs_against_brute_force(spark, size):
     rng = random.Random(size)

@@ -11,14 +11,17 @@ more, that is all copies of one run of lines. The copy in the smallest doc_id (t
 the lines of all later copies are deleted. Copies that start in consecutive lines merge into maximal runs, so deeper ranks
 would not change what is deleted, and doubling stops there.
 
-Cases: null and empty texts have no lines; documents of fewer than `min_lines` lines have no runs; blank lines are kept;
+A run of one line counts too if the line has `LONE_WORDS` words or more: of equal long lines, known by
+their hash, all but the first go. Shorter lines need `min_lines`.
+
+Cases: null and empty texts have no lines; documents of fewer than `min_lines` lines only have runs of
+one line; blank lines are kept;
 null doc_ids come last; rows that repeat a doc_id are rows of their own, so the second of two equal rows loses its runs.
 Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,15 +30,18 @@ from invoicelake.llm.words import mapped
 from invoicelake.session import staged
 
 MIN_LINES = 2
+LONE_WORDS = 10
 BLANKS = " \t\r\x0b\x0c"
 BLANK = "[ \\t\\r\\x0B\\x0C]+"
+#: A word is a run of visible characters; those of scripts written without white space are words of their own.
+WORD = "[\\u3000-\\u9FFF]|[^ \\t\\r\\x0B\\x0C\\u3000-\\u9FFF]+"
 
 
 def line_ids(text: Column) -> Column:
-    """Hashes of the lines that are not blank."""
+    """(line, lone): hashes of the lines that are not blank, and if a line is a run by itself."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     stripped = F.transform(lines, lambda x: F.regexp_replace(x, f"^{BLANK}|{BLANK}$", ""))
-    return F.transform(F.filter(stripped, lambda x: x != ""), lambda x: F.xxhash64(x))
+    return F.transform(F.filter(stripped, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("line"), (F.regexp_count(x, F.lit(WORD)) >= LONE_WORDS).alias("lone")))
 
 
 def ranked(pairs: DataFrame) -> DataFrame:
@@ -68,16 +74,18 @@ def suffix_ranks(lines: DataFrame, depth: int) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, min_lines: int) -> DataFrame:
-    """(row, check, starts): for every row with later copies of runs of `min_lines` lines, where they start. `docs` has row."""
+    """(row, check, starts): for every row with later copies of runs, where they start and their lines. `docs` has row."""
     sequences = staged(docs.select("row", F.col("doc_id").alias("doc"), F.xxhash64("text").alias("check"), line_ids(F.col("text")).alias("ids")), "lines")
-    lines = sequences.select("row", F.size("ids").alias("n"), F.posexplode("ids").alias("pos", "line")).withColumn("left", F.col("n") - F.col("pos"))
-    suffixes = suffix_ranks(lines, min_lines).where(F.col("left") >= min_lines)
-    intervals = suffixes.groupBy("rank").count().where("count > 1").select("rank")
-    copies = suffixes.join(intervals, "rank").join(sequences.select("row", "doc"), "row").withColumn(
+    lines = sequences.select("row", F.size("ids").alias("n"), F.posexplode("ids").alias("pos", "id")).select("row", "pos", (F.col("n") - F.col("pos")).alias("left"), "id.line", "id.lone")
+    suffixes = suffix_ranks(lines, min_lines).where(F.col("left") >= min_lines).select("row", "pos", F.lit(min_lines).alias("size"), "rank")
+    if min_lines > 1:  # a long line is a run of size 1, known by its hash
+        suffixes = suffixes.union(lines.where("lone").select("row", "pos", F.lit(1), "line"))
+    intervals = suffixes.groupBy("size", "rank").count().where("count > 1").select("size", "rank")
+    copies = suffixes.join(intervals, ["size", "rank"]).join(sequences.select("row", "doc"), "row").withColumn(
         "place", F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "pos"))
-    copies = staged(copies.select("rank", "row", "pos", "place"), "copies")
-    firsts = copies.groupBy("rank").agg(F.min("place").alias("first"))
-    later = copies.join(firsts, "rank").where("place <> first").groupBy("row").agg(F.collect_list("pos").alias("starts"))
+    copies = staged(copies.select("size", "rank", "row", "pos", "place"), "copies")
+    firsts = copies.groupBy("size", "rank").agg(F.min("place").alias("first"))
+    later = copies.join(firsts, ["size", "rank"]).where("not (place <=> first)").groupBy("row").agg(F.collect_list(F.struct("pos", "size")).alias("starts"))
     return later.join(sequences.select("row", "check"), "row")
 
 
@@ -95,8 +103,7 @@ def without_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
             for text, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 lines = (text or "").split("\n")
                 full = [i for i, x in enumerate(lines) if x.strip(BLANKS)]
-                hit = np.unique((np.array(at or [], np.int64)[:, None] + np.arange(min_lines)).ravel())
-                out = [full[i] for i in hit.tolist()]
+                out = [full[i] for i in sorted({k for s in at or [] for k in range(s["pos"], s["pos"] + s["size"])})]
                 drop = set(out)
                 counts.append(len(full))
                 gone.append(out)

@@ -225,6 +225,14 @@ def test_line_runs_against_brute_force(spark, size):
     assert {r.doc_id: list(r.removed) for r in got} == want
 
 
+def test_long_lines_are_runs_of_their_own(spark):
+    long, wide, nine = " ".join(f"w{k}" for k in range(60)), "".join(map(chr, range(0x4E00, 0x4E20))), " ".join("abcdefghi")
+    docs = {i: f"top {i}\n{nine}\nmid {i}\n {long} \n\nnext {i}\n{wide}\nlast {i}" for i in range(3)} | {3: long, 4: long, 5: nine}
+    got = line_dedup.without_copies(spark.createDataFrame([*docs.items(), (None, long)], "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: list(r.removed) for r in got} == {0: [], 1: [3, 6], 2: [3, 6], 3: [0], 4: [0], 5: [], None: [0]}
+    assert {r.doc_id: r.text for r in got}[1] == f"top 1\n{nine}\nmid 1\n\nnext 1\nlast 1"
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 

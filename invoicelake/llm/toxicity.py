@@ -3,8 +3,9 @@
 Training. At most `LABELLED` labelled rows of each class (smallest hash of doc_id), never held-out ones, are the examples;
 equal texts count once. Terms are words and their beginnings (`PREFIXES` bytes), as insults are often stems, and each of
 them seen `REPEATS` times or more, as a cosine alone does not tell one mention from many. The vocabulary
-are the terms that go with the label among the examples (`MIN_GAIN` nats of evidence and a raise of the odds), at most
-`TERMS`. Document frequencies of the vocabulary are counted over all documents. Vectors are (1 + log tf) * idf, length one.
+are the terms that go with the label among the examples (in `MIN_TOXIC` toxic ones or more, with more nats of
+evidence than the log of the number of examples, and a raise of the odds), at most `TERMS`. Texts without one of them are compared by all words of the examples instead, in a
+second index. Document frequencies of both are counted over all documents. Vectors are (1 + log tf) * idf, length one.
 
 Index. For every term the examples that hold it, in blocks of `BLOCK` examples, with the largest weight per block. For a
 query the sum of (query weight * block maximum) bounds every cosine in a block. Blocks are scored in falling order of their
@@ -13,9 +14,11 @@ with two counts, and entries are laid out by their heaviest term, which keeps th
 
 Score. Neighbours vote with their cosine: the vote is the toxic share of the weights, drawn towards the share among
 examples without vocabulary terms. A monotone table over the examples, each judged without itself, turns votes into
-calibrated scores. Evidence is the number of entries that voted and the best cosine.
+calibrated scores. Evidence is the number of entries that voted and the best cosine. Over all words
+any two texts are a little similar, so there a vote is the cosine to the power of `SHARPNESS`, and the table is made from the examples
+without vocabulary terms, each judged without itself and once as a copy of itself.
 
-Cases: null and empty texts and texts without vocabulary terms have no neighbours; their score is the toxic share of
+Cases: null and empty texts and texts without a word of any example have no neighbours; their score is the toxic share of
 such examples. Labels with null doc_id or null toxic are ignored; of several labels for one doc_id the smallest counts; a null
 doc_id is not held out. Without examples of both classes the score is the share of toxic examples (0 if there are none). Ties
 between neighbours go to the earlier entry. Repeated rows get equal results; columns other than doc_id and text are ignored.
@@ -23,6 +26,8 @@ between neighbours go to the earlier entry. Repeated rows get equal results; col
 
 from __future__ import annotations
 
+import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -38,7 +43,8 @@ NEIGHBOURS = 25
 BLOCK = 64
 PREFIXES = (4, 5, 6, 7, 8)
 REPEATS = (2, 3, 5)
-MIN_GAIN, MIN_ODDS = 10.0, 3.0
+MIN_ODDS, MIN_TOXIC = 3.0, 3
+SHARPNESS = 8
 PRIOR_WEIGHT = 0.1
 DECISION = 0.7
 REMEMBERED = 50_000
@@ -71,13 +77,13 @@ def _terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts), np.concatenate(hashes)
 
 
-def _distinct(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(text: np.ndarray, hashes: np.ndarray, repeats: tuple = REPEATS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, term hash, times, plain term) for every distinct term of every text, repeats included, in order."""
     order = np.lexsort((hashes, text))
     t, h = text[order], hashes[order]
     at = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (h[1:] != h[:-1])])) if len(t) else np.empty(0, np.int64)
     t, h, n = t[at], h[at], np.diff(np.concatenate([at, [len(t)]]))
-    many = [(t[n >= r], mix(h[n >= r] + np.uint64(r)), h[n >= r]) for r in REPEATS]
+    many = [(t[n >= r], mix(h[n >= r] + np.uint64(r)), h[n >= r]) for r in repeats]
     plain = np.concatenate([h, *(m[2] for m in many)])
     times = np.concatenate([n, np.ones(len(plain) - len(h), n.dtype)])
     t, h = np.concatenate([t, *(m[0] for m in many)]), np.concatenate([h, *(m[1] for m in many)])
@@ -96,20 +102,27 @@ def _example_counts(batches):
                                           pa.array(np.bincount(group, minlength=len(word)) - toxic), pa.array(toxic)], ["word", "plain", "clean", "toxic"])
 
 
+def _example_words(batches):
+    """The different words of every slice of examples."""
+    for _, texts in text_slices(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(Words(texts).hash).view(np.int64))], ["word"])
+
+
 def choose_terms(counts: DataFrame, clean: int, toxic: int, terms: int = TERMS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of terms (and of their plain terms) that go with the label: n * KL(share of toxic || base share) and raise of the odds, the strongest first."""
     n, base = F.col("clean") + F.col("toxic"), toxic / (clean + toxic)
     share = F.col("toxic") / n
     gain = n * (share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
-    best = counts.where("toxic > 0").select("word", "plain", gain.alias("gain"), (share * (1 - base) >= MIN_ODDS * base * (1 - share)).alias("raised"))
-    picked = best.where((F.col("gain") >= MIN_GAIN) & F.col("raised")).orderBy(F.desc("gain"), "word").limit(terms).collect()
+    best = counts.where(F.col("toxic") >= MIN_TOXIC).select("word", "plain", gain.alias("gain"), (share * (1 - base) >= MIN_ODDS * base * (1 - share)).alias("raised"))
+    picked = best.where((F.col("gain") > math.log(clean + toxic) + 1e-6) & F.col("raised")).orderBy(F.desc("gain"), "word").limit(terms).collect()
     return tuple(np.array([r[c] for r in picked], np.int64).view(np.uint64) for c in ("word", "plain"))
 
 
 class Vectors:
-    """TF-IDF vectors over a chosen vocabulary."""
+    """TF-IDF vectors over a chosen vocabulary, or over whole words only."""
 
-    def __init__(self, terms: np.ndarray, plain: np.ndarray):
+    def __init__(self, terms: np.ndarray, plain: np.ndarray, whole: bool = False):
+        self.whole = whole
         self.terms, self.plain = np.unique(terms), np.unique(plain)
         self.idf = np.ones(len(self.terms))
 
@@ -185,18 +198,20 @@ def _ranges(first: np.ndarray, end: np.ndarray, weight: np.ndarray) -> tuple[np.
 
 
 class Model:
-    """Vocabulary, index, and the table from votes to scores."""
+    """Vocabulary, index, and the table from votes to scores; `rest` is the model for texts without vocabulary terms."""
 
-    def __init__(self, vectors: Vectors, index: Index, prior: float):
-        self.vectors, self.index, self.prior = vectors, index, prior
+    def __init__(self, vectors: Vectors, index: Index, prior: float, power: int = 1):
+        self.vectors, self.index, self.prior, self.power = vectors, index, prior, power
+        self.rest: Model | None = None
         self.votes, self.scores = np.array([0.0, 1.0]), np.array([prior, prior])
 
     def vote(self, found: list[tuple[float, int, int]], k: int = NEIGHBOURS, without: tuple | None = None) -> float:
         toxic, total, left = PRIOR_WEIGHT * self.prior, PRIOR_WEIGHT, k
         for cosine, e, n in found:
             bad = int(self.index.toxic[e]) - (without is not None and without[0] == e and without[1] == 1)
-            toxic += cosine * min(n, left) * bad / n
-            total += cosine * min(n, left)
+            weight = cosine ** self.power * min(n, left)
+            toxic += weight * bad / n
+            total += weight
             left -= min(n, left)
         return toxic / total
 
@@ -235,20 +250,12 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = LABELLED, terms: int = T
     counts = mapped(chosen, _example_counts, "word long, plain long, clean long, toxic long")
     counts = counts.groupBy("word", "plain").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     vectors = Vectors(*choose_terms(counts, clean, toxic, terms))
-    frequency, n_docs = document_frequency(docs, vectors)
-    vectors.idf = np.log((1 + n_docs) / (1 + frequency)) + 1
-    shared = spark.sparkContext.broadcast(vectors)
-    rows, y = [], []
-    for doc in mapped(chosen, _projected(shared), "y int, terms array<int>, times array<int>").orderBy("y", "terms", "times").toLocalIterator():
-        rows.append((np.array(doc["terms"], np.int64), np.array(doc["times"], np.float64)))
-        y.append(doc["y"])
-    y = np.array(y)
-    weighted = [(t, vectors.weights(np.zeros(len(t), np.int64), t, n, 1)) for t, n in rows]
+    weighted, y = _weighted(docs, chosen, vectors)
     # the classes are sampled at different rates; `ratio` gives clean examples their real share
     known = labels.where(F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id"))).groupBy("toxic").count().collect()
     real = {r["toxic"]: r["count"] for r in known}
     weight = np.where(y == 1, real.get(1, 1) / toxic, real.get(0, 1) / clean)
-    bare = np.array([not len(t) for t, _ in rows])
+    bare = np.array([not len(t) for t, _ in weighted])
     prior = (float(weight[bare & (y == 1)].sum()) + 0.01) / (float(weight[bare].sum()) + 1.0)
     model = Model(vectors, Index(weighted, y, len(vectors.terms)), prior)
     place = {e: i for i, e in enumerate(_entry_keys(model.index, weighted))}
@@ -258,9 +265,67 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = LABELLED, terms: int = T
             own = place.get(_key(t, w), -1), int(y[i])
             votes[i] = model.vote(model.index.nearest(t, w, without=own), without=own)
     model.votes, model.scores = calibrate(votes, y, weight)
+    model.rest = _rest(docs, chosen, vectors, {1: real.get(1, 1) / toxic, 0: real.get(0, 1) / clean})
     return model
 
 
+def _weighted(docs: DataFrame, chosen: DataFrame, vectors: Vectors) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """The examples' vectors and labels; sets the idf."""
+    frequency, n_docs = document_frequency(docs, vectors)
+    vectors.idf = np.log((1 + n_docs) / (1 + frequency)) + 1
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    weighted, y = [], []
+    for doc in mapped(chosen, _projected(shared), "y int, terms array<int>, times array<int>").orderBy("y", "terms", "times").toLocalIterator():
+        t = np.array(doc["terms"], np.int64)
+        weighted.append((t, vectors.weights(np.zeros(len(t), np.int64), t, np.array(doc["times"], np.float64), 1)))
+        y.append(doc["y"])
+    return weighted, np.array(y)
+
+
+def _rest(docs: DataFrame, chosen: DataFrame, vectors: Vectors, share: dict[int, float]) -> Model:
+    """The model over all words of the examples, its table made from those without a term of `vectors`."""
+    found = mapped(chosen, _example_words, "word long").distinct()
+    words = np.fromiter((r["word"] for r in found.toLocalIterator()), np.int64).view(np.uint64)
+    whole = Vectors(words, words, True)
+    weighted, y = _weighted(docs, chosen, whole)
+    empty = np.array([not len(t) for t, _ in weighted])
+    weight = np.where(y == 1, share[1], share[0])
+    prior = (float(weight[empty & (y == 1)].sum()) + 0.01) / (float(weight[empty].sum()) + 1.0)
+    model = Model(whole, Index(weighted, y, len(whole.terms)), prior, SHARPNESS)
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, model))
+
+    def run(batches):
+        vectors, model = shared.value
+        for batch, texts in text_slices(batches):
+            words = Words(texts)
+            known = np.bincount(vectors.find(*_distinct_of(vectors, words))[0], minlength=len(texts))
+            kinds = batch.column(1).to_pylist()
+            out: list[tuple[int, float]] = []
+            for i, (t, w) in enumerate(_vectors_of(model.vectors, words, len(texts))):
+                if known[i] or not len(t):
+                    continue
+                near = model.index.nearest(t, w)
+                own = near[0][1], kinds[i]
+                out += [(kinds[i], model.vote(near)), (kinds[i], model.vote(model.index.nearest(t, w, without=own), without=own))]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.float64())], ["y", "vote"])
+
+    judged = mapped(chosen, run, "y int, vote double").orderBy("y", "vote").collect()  # at most two for each example
+    if judged:
+        kinds = np.array([r["y"] for r in judged])
+        model.votes, model.scores = calibrate(np.array([r["vote"] for r in judged]), kinds, np.where(kinds == 1, share[1], share[0]))
+    return model
+
+
+def _vectors_of(vectors: Vectors, words: Words, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(terms, weights) of each of `n` texts."""
+    t, term, times = vectors.find(*_distinct_of(vectors, words))
+    order = np.lexsort((term, t))
+    t, term, times = t[order], term[order], times[order]
+    weight = vectors.weights(t, term, times, n)
+    first = np.searchsorted(t, np.arange(n + 1)).tolist()
+    return [(term[a:b], weight[a:b]) for a, b in zip(first[:-1], first[1:])]
+
+
 def _key(t: np.ndarray, w: np.ndarray) -> bytes:
     return t.tobytes() + np.round(w, 12).tobytes()
 
@@ -294,7 +359,8 @@ def document_frequency(docs: DataFrame, vectors: Vectors) -> tuple[np.ndarray, i
             seen[:-1] += np.bincount(term, minlength=len(seen) - 1)
             n += len(texts)
         seen[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen), dtype=np.int64)), pa.array(seen)], ["term", "n"])
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["term", "n"])
 
     rows = mapped(docs.select("text"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(vectors.terms) + 1, np.int64)
@@ -305,12 +371,12 @@ def document_frequency(docs: DataFrame, vectors: Vectors) -> tuple[np.ndarray, i
 
 def _distinct_of(vectors: Vectors, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """`_distinct`, looking only at terms of the vocabulary."""
-    text, hashes = _terms(words)
+    text, hashes = (words.text, words.hash) if vectors.whole else _terms(words)
     if not len(vectors.plain):
         return text[:0], hashes[:0], text[:0]
     at = np.minimum(np.searchsorted(vectors.plain, hashes), len(vectors.plain) - 1)
     hit = vectors.plain[at] == hashes
-    return _distinct(text[hit], hashes[hit])[:3]
+    return _distinct(text[hit], hashes[hit], () if vectors.whole else REPEATS)[:3]
 
 
 def _score(shared) -> Mapper:
@@ -319,18 +385,17 @@ def _score(shared) -> Mapper:
         known: dict[bytes, tuple[float, int, float]] = {}  # results of vectors seen in this task
         for batch, texts in text_slices(batches):
             words = Words(texts)
-            t, h, n = _distinct_of(model.vectors, words)
-            t, term, n = model.vectors.find(t, h, n)
-            weight = model.vectors.weights(t, term, n, len(texts))
-            first = np.searchsorted(t, np.arange(len(texts) + 1)).tolist()
+            chosen = _vectors_of(model.vectors, words, len(texts))
+            whole = _vectors_of(model.rest.vectors, words, len(texts)) if model.rest else chosen
             score, near, top = [], [], []
-            for a, b in zip(first[:-1], first[1:]):
-                key = _key(term[a:b], weight[a:b])
+            for of_chosen, of_whole in zip(chosen, whole):
+                use, (t, w) = (model, of_chosen) if len(of_chosen[0]) or not model.rest else (model.rest, of_whole)
+                key = bytes([use is model]) + hashlib.blake2b(_key(t, w), digest_size=16).digest()
                 if key not in known:
                     if len(known) >= REMEMBERED:
                         known.clear()
-                    found = model.index.nearest(term[a:b], weight[a:b]) if b > a else []
-                    known[key] = model.score(model.vote(found) if found else model.prior), len(found), found[0][0] if found else 0.0
+                    found = use.index.nearest(t, w) if len(t) else []
+                    known[key] = use.score(use.vote(found)) if found else use.prior, len(found), found[0][0] if found else 0.0
                 for column, value in zip((score, near, top), known[key]):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(near, pa.int32()), pa.array(top, pa.float64())], ["doc_id", "score", "n_near", "best_cosine"])

@@ -309,6 +309,19 @@ def test_toxicity_learns_only_from_rows_not_held_out(spark):
     assert {r.doc_id: r.score for r in toxicity.toxicity(docs, wrong).collect()} == {i: r.score for i, r in got.items()}
 
 
+def test_a_copy_of_a_toxic_example_is_toxic_without_chosen_terms(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join(rng.choices(words, k=40))) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i in (2, 5, 11))) for i in range(300)], "doc_id long, toxic int")
+    seen = [i for i in (2, 5, 11) if not toxicity.crc_held_out(i)]
+    clean = [i for i in range(20, 60) if not toxicity.crc_held_out(i)]
+    copies = [(1000 + i, dict(rows)[i].upper()) for i in seen + clean]
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(rows + copies, "doc_id long, text string"), labels).collect()}
+    assert seen and all(got[1000 + i].predicted == 1 and got[1000 + i].best_cosine > 0.999 for i in seen)
+    assert all(got[1000 + i].predicted == 0 and got[1000 + i].n_near > 0 for i in clean)
+
+
 def test_archives(spark):
     big = "x" * 3_000_000
     rows = [(1, "http://a/ b\n", "hello"), (2, None, "hello"), (3, "u", None), (4, "u", ""), (None, "u", "hello"), (5, "u", big), (6, "u", "a\r\n\r\nContent-Length: 3\r\n\r\n"), (6, "u", "z"), (6, "u", "z")]

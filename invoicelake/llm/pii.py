@@ -15,8 +15,10 @@ document's certain mentions pull the doubtful ones with them. A further mention
 `MIN_MARGINAL`. Base spans always stay.
 
 The weights are fitted by pseudo-likelihood on a bounded sample: the mentions of the `SAMPLE_DOCS` documents with the smallest
-hash of doc_id and text among those that have a digit or an @, at most `SAMPLE_MENTIONS` each. Base spans are the kinds and all
-other mentions are none, which is what distant supervision can say; features that spell out a pattern are left out.
+hash of doc_id and text among those that have a digit or an @, at most `SAMPLE_MENTIONS` each. Base spans are the kinds, mentions
+linked to one by skip edges are unobserved, and all other mentions are none, which is what distant supervision can say; features
+that spell out a pattern are left out. Skip weights are learned from pairs of base spans, each with its label masked and
+judged by the other's alone, so they say how far equal mentions have equal kinds.
 
 Cases: null and empty texts have no spans; texts are read whole and documents are judged alone, so repeated rows get equal
 results; spans of one kind never overlap, and a further mention that touches a base span is dropped. Without sample
@@ -49,6 +51,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+DOTTED = re.compile(r"[0-9]+(?:[.-][0-9]+)+")
 NEAR = re.compile(r"[^\s@]*@[^\s@]*")
 DIGITS = re.compile(r"[0-9]")
 
@@ -76,13 +79,16 @@ def _emails(text: str) -> list[tuple[int, int]]:
 
 
 def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """(kind, start, end) of the base spans in order, and the digit groups that are no card."""
+    """(kind, start, end) of the base spans in order, and the digit groups and dotted numbers that are none."""
     found = [(0, a, b) for a, b in _emails(text)] if "@" in text else []
     groups: list[tuple[int, int]] = []
     if DIGITS.search(text):
         for m in IP.finditer(text):
             if all(int(p) <= 255 if len(p.lstrip("0")) < 4 else False for p in m[0].split(".")):
                 found.append((1, *m.span()))
+            else:
+                groups.append(m.span())
+        groups += [m.span() for m in DOTTED.finditer(text) if "." in m[0]]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
@@ -130,7 +136,7 @@ def mentions(text: str) -> tuple[list[tuple[int, int, int]], list[Mention]]:
     """Base spans, and all mentions in the order of the text; base mentions carry their label."""
     base, groups = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
-    further = {(a, b) for a, b in groups if sum(c.isdigit() for c in text[a:b]) >= 7}
+    further = {(a, b) for a, b in groups if sum(c.isdigit() for c in text[a:b]) >= 7 or IP.fullmatch(text, a, b)}
     if "@" in text:
         at = text.find("@")
         while at >= 0:
@@ -146,7 +152,7 @@ def mentions(text: str) -> tuple[list[tuple[int, int, int]], list[Mention]]:
     starts = np.array([a for a, _ in taken], np.int64)
     reach = np.maximum.accumulate(np.array([b for _, b in taken], np.int64)) if taken else np.empty(0, np.int64)
     end = -1
-    for a, b in sorted(further):
+    for a, b in sorted(further, key=lambda f: (f[0], -f[1])):
         i = int(np.searchsorted(starts, b)) - 1
         if (i < 0 or reach[i] <= a) and a >= end:
             nodes.append(Mention(text, a, b, None))
@@ -209,7 +215,7 @@ class Field:
         return belief / belief.sum(axis=1, keepdims=True)
 
     def fit(self, documents: list[list[Mention]]) -> "Field":
-        """Gradient ascent on the pseudo-likelihood: every label given its neighbours' labels."""
+        """Gradient ascent on the pseudo-likelihood: every observed label given its neighbours' labels."""
         nodes = [m for doc in documents for m in doc]
         if not nodes:
             return self
@@ -218,23 +224,32 @@ class Field:
         feature = np.array([m.features for m in nodes])
         links = [(edges(d), b) for d, b in zip(documents, base)]
         chain, skip = (np.concatenate([e[j] + b for e, b in links]) for j in (0, 1))
+        linked = label > 0
+        while True:  # what a base mention reaches over skip edges is unobserved
+            more = linked.copy()
+            more[skip[linked[skip[:, 0]], 1]] = more[skip[linked[skip[:, 1]], 0]] = True
+            if (more == linked).all():
+                break
+            linked = more
+        seen = (label > 0) | ~linked
+        chain, skip = chain[seen[chain].all(axis=1)], skip[(label[skip] > 0).all(axis=1)]
         want = np.eye(k)[label]
         for _ in range(STEPS):
-            score = self.node[feature].sum(axis=1)
-            for ends, w in ((chain, self.chain), (skip, self.skip)):
-                np.add.at(score, ends[:, 0], w[:, label[ends[:, 1]]].T)
-                np.add.at(score, ends[:, 1], w[label[ends[:, 0]], :])
-            p = np.exp(score - score.max(axis=1, keepdims=True))
-            off = want - p / p.sum(axis=1, keepdims=True)
+            score, alone = self.node[feature].sum(axis=1), np.zeros((len(nodes), k))
+            for ends, w, to in ((chain, self.chain, score), (skip, self.skip, alone)):
+                np.add.at(to, ends[:, 0], w[:, label[ends[:, 1]]].T)
+                np.add.at(to, ends[:, 1], w[label[ends[:, 0]], :])
+            off, off_skip = (want - p / p.sum(axis=1, keepdims=True) for p in (np.exp(x - x.max(axis=1, keepdims=True)) for x in (score, alone)))
+            off = off * seen[:, None]
             grad = np.zeros_like(self.node)
             for j in range(feature.shape[1]):
                 np.add.at(grad, feature[:, j], off)
-            self.node += RATE * (grad / len(nodes) - DECAY * self.node)
-            for ends, w in ((chain, self.chain), (skip, self.skip)):
+            self.node += RATE * (grad / seen.sum() - DECAY * self.node)
+            for ends, w, d in ((chain, self.chain, off), (skip, self.skip, off_skip)):
                 if len(ends):
                     g = np.zeros((k, k))
-                    np.add.at(g.T, label[ends[:, 1]], off[ends[:, 0]])
-                    np.add.at(g, label[ends[:, 0]], off[ends[:, 1]])
+                    np.add.at(g.T, label[ends[:, 1]], d[ends[:, 0]])
+                    np.add.at(g, label[ends[:, 0]], d[ends[:, 1]])
                     w += RATE * (g / len(ends) - DECAY * w)
         self.fitted = True
         return self

@@ -260,6 +260,23 @@ def test_skip_edges_carry_a_label_to_a_distant_mention():
     assert pii.find(text, pii.Field())[1] == []
 
 
+def test_a_fitted_field_labels_a_distant_unmarked_repeat():
+    rng = random.Random(12)
+    texts = []
+    for k in range(120):
+        number = f"{rng.randrange(200, 999)} {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"
+        ip = ".".join(str(rng.randrange(1, 255)) for _ in range(4))
+        again = [f"again {number} please", f"call +1 {number} now", "nothing", f"host {ip} twice"][k % 4]
+        texts.append(f"call +1 {number} now. host {ip} up. order {rng.randrange(10**9, 10**10)} came. " + "filler " * 20 + again)
+    field = pii.Field().fit([pii.mentions(t)[1] for t in texts])
+    for number in ("988 555-2485", "988.555.2485"):
+        text = "call +1 (988) 555-2485 now. " + "filler " * 50 + f"again {number} please, order 1234567890 came"
+        _, more = pii.find(text, field)
+        assert [(k, text[a:b]) for k, a, b in more] == [(3, number)]
+    text = "at 10.0.0.300 and 988.555.2485, 1.2.3.400"
+    assert [text[m.start:m.end] for m in pii.mentions(text)[1]] == ["10.0.0.300", "988.555.2485", "1.2.3.400"]
+
+
 def test_messages_are_exact_on_a_chain():
     rng = np.random.default_rng(7)
     field = pii.Field()

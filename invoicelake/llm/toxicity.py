@@ -162,6 +162,7 @@ class Index:
         self.block, self.highest = (self.entry // BLOCK)[at], np.maximum.reduceat(self.weight, at) if len(at) else np.empty(0)
         self.start = np.concatenate([at, [len(key)]])
         self.block_first = np.searchsorted(term[order][at], np.arange(terms + 1))
+        self.entry, self.block = self.entry.astype(np.int32), self.block.astype(np.int32)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: tuple | None = None) -> list[tuple[float, int, int]]:
         """(cosine, entry, examples) of the k nearest examples with a positive cosine; `without` is one example to leave out."""
@@ -279,6 +280,7 @@ def _weighted(docs: DataFrame, chosen: DataFrame, vectors: Vectors) -> tuple[lis
         t = np.array(doc["terms"], np.int64)
         weighted.append((t, vectors.weights(np.zeros(len(t), np.int64), t, np.array(doc["times"], np.float64), 1)))
         y.append(doc["y"])
+    shared.destroy()
     return weighted, np.array(y)
 
 
@@ -310,6 +312,7 @@ def _rest(docs: DataFrame, chosen: DataFrame, vectors: Vectors, share: dict[int,
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.float64())], ["y", "vote"])
 
     judged = mapped(chosen, run, "y int, vote double").orderBy("y", "vote").collect()  # at most two for each example
+    shared.destroy()
     if judged:
         kinds = np.array([r["y"] for r in judged])
         model.votes, model.scores = calibrate(np.array([r["vote"] for r in judged]), kinds, np.where(kinds == 1, share[1], share[0]))
@@ -363,6 +366,7 @@ def document_frequency(docs: DataFrame, vectors: Vectors) -> tuple[np.ndarray, i
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["term", "n"])
 
     rows = mapped(docs.select("text"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    shared.destroy()
     out = np.zeros(len(vectors.terms) + 1, np.int64)
     for r in rows:
         out[r["term"]] = r["n"]

@@ -5,7 +5,7 @@ and every host's rate is shrunk towards what hosts are like in general: the rate
 distribution, whose two parameters come from the hosts themselves (empirical Bayes), so a host's rate is (failures + alpha) /
 (documents + alpha + beta). A host with a few documents keeps near the prior, one with many keeps its own rate. A host is
 rejected if the shrunk rate of any rule passes `HOST_LIMIT`; the verdict is joined back to the documents. A document is kept
-if it passes the base rules and its host is not rejected.
+if it fails no rule itself and its host is not rejected: where most documents of a host fail, the others are not trusted either.
 
 - The prior is fitted by moments over hosts with two documents or more, each host counting once: the mean of k/n and the mean
   of k(k-1)/(n(n-1)), which is unbiased for the square of a host's rate. Both are sums of integers (parts of `SCALE`), so
@@ -140,15 +140,18 @@ def host_rates(hosts: DataFrame, prior: dict[str, tuple[float, float | None] | N
     return rated.withColumn("host_rejected", F.greatest(F.lit(False), *[F.col(f"{name}_rate") > limit for name in prior]))
 
 
+def _any(rules: dict[str, str]) -> Column:
+    return F.expr(" or ".join(f"({rule})" for rule in rules.values()))
+
+
 def judged(docs: DataFrame, host: str = "source", rules: dict[str, str] = RULES, limit: float = HOST_LIMIT) -> DataFrame:
     """One row per row of `docs`: doc_id, MEASURES, base_failed, host_rejected, kept."""
     documents = measured(docs, host)
     hosts = host_counts(documents, rules)
     rejected = staged(host_rates(hosts, priors(hosts, rules), limit).where("host_rejected").select("host", "host_rejected"), "rejected")
     found = left_lookup(documents, rejected, ["host"], hot_keys(hosts, ["host"], rows="documents"))
-    base = F.expr(" or ".join(f"({rule})" for rule in BASE_RULES.values()))
-    found = found.withColumn("base_failed", base).withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
-    return found.select("doc_id", *MEASURES, "base_failed", "host_rejected", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"))
+    found = found.withColumn("base_failed", _any(BASE_RULES)).withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
+    return found.select("doc_id", *MEASURES, "base_failed", "host_rejected", (~F.col("base_failed") & ~_any(rules) & ~F.col("host_rejected")).alias("kept"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -162,6 +165,7 @@ def _oracle() -> str:
     strength = ", ".join(f"CASE WHEN {n}_q - {n}_m * {n}_m > 0 THEN ({n}_m - {n}_q) / ({n}_q - {n}_m * {n}_m) END AS {n}_s" for n in RULES)
     bad = " OR ".join(f"CASE WHEN {n}_m IS NULL THEN {n} / documents::DOUBLE WHEN {n}_s IS NULL THEN {n}_m ELSE ({n} + {n}_m * {n}_s) / (documents + {n}_s) END > {HOST_LIMIT}" for n in RULES)
     base = " OR ".join(f"({rule})" for rule in BASE_RULES.values())
+    failed = " OR ".join(f"({rule})" for rule in RULES.values())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -176,7 +180,7 @@ hosts AS (SELECT host, count(*) AS documents, {counts} FROM m GROUP BY host),
 moments AS (SELECT {moments} FROM hosts WHERE documents >= 2),
 prior AS (SELECT *, {strength} FROM moments),
 verdict AS (SELECT host, {bad} AS host_rejected FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({base}) AS base_failed, NOT ({base}) AND NOT host_rejected AS kept, host_rejected
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({base}) AS base_failed, NOT ({failed}) AND NOT host_rejected AS kept, host_rejected
 FROM m JOIN verdict USING (host)
 """
 

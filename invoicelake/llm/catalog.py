@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from invoicelake.llm import decontam, exact_dedup, host_rules, jaccard_join, line_dedup, pieces, pii, quality, span_dedup, toxicity, warc
+from invoicelake.llm import decontam, exact_dedup, host_rules, jaccard_join, line_dedup, pieces, pii, quality, span_dedup, toxicity, warc, whitening
 from invoicelake.llm.words import table
 
 
@@ -46,11 +46,15 @@ def op10_pieces(spark, sf_dir):
     return pieces.tokens(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_host_rules(spark, sf_dir):
     return host_rules.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_warc, op4_quality, op5_exact_dedup, op6_span_dedup, op7_decontamination, op8_line_dedup, op9_jaccard_join, op10_pieces, op13_host_rules)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_warc, op4_quality, op5_exact_dedup, op6_span_dedup, op7_decontamination, op8_line_dedup, op9_jaccard_join, op10_pieces, op12_whitening, op13_host_rules)}
 
 ORACLE = {
     "op3_warc": warc.ORACLE,

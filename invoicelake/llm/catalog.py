@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from invoicelake.llm import decontam, exact_dedup, host_rules, jaccard_join, line_dedup, pieces, pii, quality, span_dedup, toxicity, warc, whitening
+from invoicelake.llm import collocations, decontam, exact_dedup, host_rules, jaccard_join, line_dedup, pieces, pii, quality, span_dedup, toxicity, warc, whitening
 from invoicelake.llm.words import table
 
 
@@ -46,6 +46,10 @@ def op10_pieces(spark, sf_dir):
     return pieces.tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark, sf_dir):
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -54,7 +58,7 @@ def op13_host_rules(spark, sf_dir):
     return host_rules.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_warc, op4_quality, op5_exact_dedup, op6_span_dedup, op7_decontamination, op8_line_dedup, op9_jaccard_join, op10_pieces, op12_whitening, op13_host_rules)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_warc, op4_quality, op5_exact_dedup, op6_span_dedup, op7_decontamination, op8_line_dedup, op9_jaccard_join, op10_pieces, op11_collocations, op12_whitening, op13_host_rules)}
 
 ORACLE = {
     "op3_warc": warc.ORACLE,
@@ -66,5 +70,6 @@ FROM t
 """,
     "op7_decontamination": decontam.ORACLE,
     "op9_jaccard_join": jaccard_join.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op13_host_rules": host_rules.ORACLE,
 }

@@ -12,7 +12,8 @@ are split into `SHARDS` shards by the hash of their text, and the SON rule does
 
 What is locally frequent is passed on as a bit set of fixed size (2^BITS bits, by 64-bit hash of language, phrase and shard), so
 the broadcast does not grow with the data. Its false hits, like equal hashes in mining, only add candidates; the exact count
-by text decides. In step 3 phrases within one block of `SLICE` bytes are told apart by 64-bit hash before their texts are
+by text decides. Counts of hashes travel packed, as sorted arrays per shard and range of hashes, of which there are
+enough for one per `BUCKET_WORDS` words. In step 3 phrases within one block of `SLICE` bytes are told apart by 64-bit hash before their texts are
 taken.
 
 Then every frequent phrase of two to four words is scored: cut after its first k words, l and r are the frequencies of both
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from invoicelake.llm.spans import byte_set, joined, span_hashes, word_borders
-from invoicelake.llm.words import BASE, FOLDED, Batches, Mapper, mapped, mix
+from invoicelake.llm.words import BASE, FOLDED, Batches, Mapper, mapped, mix, ship
 from invoicelake.session import staged
 
 SUPPORT = 30
@@ -45,7 +46,9 @@ SHARDS = 4
 WORDS = 4
 BITS = 26
 TOP = 2000
-SLICE = 8 << 20
+SLICE = 4 << 20
+HELD = 2_000_000
+BUCKET_WORDS = 4_000_000
 BUCKET = 32768  # bits of one row of bitmap_construct_agg
 SEPARATOR = byte_set(*b".,;:!?", (10, 13))
 WORD = ~(SEPARATOR | byte_set(9, 32))
@@ -74,20 +77,24 @@ class Block:
     """The words of some texts and the hashes of their phrases. Word i starts a phrase of k words if whole(k)[i]."""
 
     def __init__(self, texts: list[bytes], lang: list[int], group: list[int]):
-        self.data, buffer, offset = joined(texts)
+        data, buffer, offset = joined(texts)
         self.lower = buffer.translate(LOWER)
-        self.start, self.end = word_borders(self.data, WORD)
-        row = np.searchsorted(offset, self.start, "right") - 1
-        self.piece = np.cumsum(SEPARATOR[self.data], dtype=np.int32)[self.start]
-        self.row = row
-        self.lang = np.array(lang, np.int64).view(np.uint64)[row]
-        self.group = np.array(group, np.int64).view(np.uint64)[row]
-        words = span_hashes(self.data, FOLDED, self.start, self.end)
-        self.keys = [mix(words + self.lang)]  # phrases of one word, two words, ... with their language
-        for k in range(1, WORDS):
-            longer = np.zeros_like(words)
-            longer[:max(0, len(words) - k)] = mix(self.keys[-1][:max(0, len(words) - k)] * BASE + words[k:] + np.uint64(k))
+        self.start, self.end = word_borders(data, WORD)
+        self.row = np.searchsorted(offset, self.start, "right") - 1
+        self.piece = np.cumsum(SEPARATOR[data], dtype=np.int32)[self.start]
+        self.groups, index = np.unique(np.array(group, np.int64).view(np.uint64), return_inverse=True)
+        self.group = index.astype(np.uint32 if len(self.groups) > 1 << 16 else np.uint16)[self.row]  # a place in `groups` per word
+        self.words = span_hashes(data, FOLDED, self.start, self.end)
+        self.keys = [mix(self.words + np.array(lang, np.int64).view(np.uint64)[self.row])]
+
+    def key(self, k: int) -> np.ndarray:
+        """Hash of language and phrase of k words at every word."""
+        while len(self.keys) < k:
+            n, last = max(0, len(self.words) - len(self.keys)), len(self.keys)
+            longer = np.zeros_like(self.words)
+            longer[:n] = mix(self.keys[-1][:n] * BASE + self.words[last:] + np.uint64(last))
             self.keys.append(longer)
+        return self.keys[k - 1]
 
     def whole(self, k: int) -> np.ndarray:
         n = len(self.piece)
@@ -118,16 +125,72 @@ def blocks(batches: Batches, limit: int) -> Iterator[tuple[pa.RecordBatch, list[
             yield batch, rows, Block(parts, [l[r] for r in rows], [g[r] for r in rows])
 
 
-def _counted(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each different key the columns' values at its first place, and how often it occurs."""
-    _, first, n = np.unique(key, return_index=True, return_counts=True)
-    return *(c[first] for c in columns), n
-
-
 def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64), pa.int64())
 
 
+# Counts of hashes ---------------------------------------------------------------------------------------------------
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each different key, in order, with the sum of its counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+
+
+class Tally:
+    """Counts of hashes per group, gathered over the blocks of a task and given out as packed rows.
+
+    A packed row holds the sorted hashes of one group in one of `buckets` equal ranges, so the shuffle moves a few large rows
+    and not a row per phrase. After `HELD` different hashes the counts go out and the tally starts anew.
+    """
+
+    def __init__(self, buckets: int):
+        self.bounds = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.lang: dict[int, str] = {}
+        self.size = 0
+
+    def add(self, block: Block, key: np.ndarray, at: np.ndarray) -> None:
+        group = block.group[at]
+        order = np.argsort(group, kind="stable")
+        edges = np.searchsorted(group[order], np.arange(len(block.groups) + 1, dtype=np.int64))
+        for g, a, b in zip(block.groups.tolist(), edges[:-1].tolist(), edges[1:].tolist()):
+            if b > a:
+                own = np.sort(key[at[order[a:b]]])
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                self.parts.setdefault(g, []).append((own[first], np.diff(first, append=len(own)).astype(np.uint32)))
+                self.size += len(first)
+
+    def rows(self) -> Batches:
+        for g, parts in self.parts.items():
+            keys, counts = summed(*map(np.concatenate, zip(*parts))) if len(parts) > 1 else parts[0]
+            edges = np.concatenate([[0], np.searchsorted(keys, self.bounds), [len(keys)]])
+            filled = np.flatnonzero(np.diff(edges))
+            cuts = [(int(edges[b]), int(edges[b + 1])) for b in filled]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([self.lang.get(g)] * len(cuts), pa.string()), _long(np.full(len(cuts), g, np.uint64)), pa.array(filled.astype(np.int32)),
+                 pa.array([int(counts[a:b].sum()) for a, b in cuts], pa.int64()), pa.array([keys[a:b].tobytes() for a, b in cuts], pa.binary()),
+                 pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in cuts], pa.binary())], ["lang", "g", "bucket", "total", "keys", "counts"])
+        self.parts, self.size = {}, 0
+
+
+PACKED = "lang string, g long, bucket int, total long, keys binary, counts binary"
+
+
+def locally_frequent(packed: DataFrame, least: DataFrame) -> DataFrame:
+    """(key, g) of the hashes that reach their group's support in all packed rows together."""
+    def merge(rows: pa.Table) -> pa.Table:
+        keys, counts = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("counts", np.uint32)))
+        keys, counts = summed(keys, counts)
+        keys = keys[counts >= rows.column("least")[0].as_py()]
+        return pa.table({"key": _long(keys), "g": pa.array([rows.column("g")[0].as_py()] * len(keys), pa.int64())})
+
+    ship(packed.sparkSession)
+    return packed.select("g", "bucket", "keys", "counts").join(least, "g").groupBy("g", "bucket").applyInArrow(merge, "key long, g long")
+
+
 # Bit sets -----------------------------------------------------------------------------------------------------------
 
 NO_SALT = np.zeros(1, np.uint64)
@@ -167,34 +230,39 @@ def bit_set(keys: DataFrame, bits: int, salted: bool) -> BitSet:
 
 # Mining -------------------------------------------------------------------------------------------------------------
 
-def _words(limit: int) -> Mapper:
-    def run(batches: Batches) -> Batches:
-        for batch, rows, b in blocks(batches, limit):
-            key, g, row, n = _counted(mix(b.keys[0] ^ b.group), b.keys[0], b.group, b.row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(rows, np.int64)[row])), _long(g), _long(key), pa.array(n)], ["lang", "g", "key", "n"])
-    return run
+Starts = Callable[[Block], Iterator[tuple[int, np.ndarray]]]
 
 
-def _phrases(limit: int, starts: Callable[[Block], Iterator[tuple[int, np.ndarray]]]) -> Mapper:
-    """Counts per block of the phrases that `starts` gives as (words, places)."""
+def _packed(limit: int, buckets: int, starts: Starts) -> Mapper:
+    """Counts of the phrases that `starts` gives as (words, places), as packed rows."""
     def run(batches: Batches) -> Batches:
-        for _, _, b in blocks(batches, limit):
+        tally = Tally(buckets)
+        for batch, rows, b in blocks(batches, limit):
+            names = batch.column(0).take(pa.array(rows, pa.int64())).to_pylist()
+            first = np.unique(b.group, return_index=True)
+            tally.lang |= {int(b.groups[j]): names[b.row[i]] for j, i in zip(*first)}
             for k, at in starts(b):
-                key, g, n = _counted(mix(b.keys[k - 1][at] ^ b.group[at]), b.keys[k - 1][at], b.group[at])
-                yield pa.RecordBatch.from_arrays([_long(g), _long(key), pa.array(n)], ["g", "key", "n"])
+                tally.add(b, b.key(k), at)
+            if tally.size >= HELD:
+                yield from tally.rows()
+        yield from tally.rows()
     return run
 
 
-def _pairs(words) -> Callable[[Block], Iterator[tuple[int, np.ndarray]]]:
+def _words(b: Block) -> Iterator[tuple[int, np.ndarray]]:
+    yield 1, np.arange(len(b.words))
+
+
+def _pairs(words) -> Starts:
     def starts(b: Block):
-        known = np.append(words.value.holds(b.keys[0], b.group), False)
+        known = np.append(words.value.holds(b.key(1), b.groups[b.group]), False)
         yield 2, np.flatnonzero(b.whole(2) & known[:-1] & known[1:])
     return starts
 
 
-def _longer(pairs) -> Callable[[Block], Iterator[tuple[int, np.ndarray]]]:
+def _longer(pairs) -> Starts:
     def starts(b: Block):
-        known = np.concatenate([b.whole(2) & pairs.value.holds(b.keys[1], b.group), np.zeros(2, bool)])
+        known = np.concatenate([b.whole(2) & pairs.value.holds(b.key(2), b.groups[b.group]), np.zeros(2, bool)])
         yield 3, np.flatnonzero(b.whole(3) & known[:-2] & known[1:-1])
         yield 4, np.flatnonzero(b.whole(4) & known[:-2] & known[1:-1] & known[2:])
     return starts
@@ -206,10 +274,11 @@ def _texts(limit: int, candidates) -> Mapper:
         for batch, rows, b in blocks(batches, limit):
             for k in range(1, WORDS + 1):
                 at = np.flatnonzero(b.whole(k))
-                at = at[candidates.value.holds(b.keys[k - 1][at])]
-                first, row, n = _counted(b.keys[k - 1][at], at, b.row[at])
-                texts = pa.array([b.text(i, k) for i in first.tolist()], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(rows, np.int64)[row])), pa.array(np.full(len(n), k, np.int32)), texts, pa.array(n)],
+                at = at[candidates.value.holds(b.key(k)[at])]
+                _, first, n = np.unique(b.key(k)[at], return_index=True, return_counts=True)
+                at = at[first]
+                texts = pa.array([b.text(i, k) for i in at.tolist()], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(rows, np.int64)[b.row[at]])), pa.array(np.full(len(n), k, np.int32)), texts, pa.array(n)],
                                                  ["lang", "words", "phrase", "n"])
     return run
 
@@ -224,24 +293,22 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, shards: int = SHAR
     context = docs.sparkSession.sparkContext
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     rows = docs.select(lang.alias("lang"), F.xxhash64(lang).alias("l"), F.xxhash64(lang, F.pmod(F.xxhash64("text"), F.lit(shards))).alias("g"), "text")
-    counts = "g long, key long, n long"
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    words = staged(mapped(rows, _words(limit), f"lang string, {counts}").groupBy("lang", "g", "key").agg(F.sum("n").alias("n")), "words")
-    of_shard = words.groupBy("lang", "g").agg(F.sum("n").alias("of_shard"))
+    words = staged(mapped(rows, _packed(limit, buckets, _words), PACKED), "words")
+    of_shard = words.groupBy("lang", "g").agg(F.sum("total").alias("of_shard"))
     totals = staged(of_shard.groupBy("lang").agg(F.sum("of_shard").alias("of_lang")), "totals")
     least = staged(of_shard.join(totals.where(F.col("of_lang") >= support), "lang").select("g", F.expr(_exact_ceiling(support)).alias("least")), "support")
+    buckets = max(buckets, (totals.agg(F.sum("of_lang")).first()[0] or 0) // BUCKET_WORDS)
 
-    def locally_frequent(counted: DataFrame, name: str) -> DataFrame:
-        return staged(counted.join(least, "g").where("n >= least").select("key", "g"), name)
-
-    def mined(starts: Callable[[Block], Iterator[tuple[int, np.ndarray]]], name: str) -> DataFrame:
-        return locally_frequent(mapped(rows, _phrases(limit, starts), counts).groupBy("g", "key").agg(F.sum("n").alias("n")), name)
+    def mined(starts: Starts) -> DataFrame:
+        return staged(locally_frequent(mapped(rows, _packed(limit, buckets, starts), PACKED), least), "mined")
 
-    one = locally_frequent(words, "mined")
+    one = staged(locally_frequent(words, least), "mined")
     known_words = context.broadcast(bit_set(one, bits, salted=True))
-    two = mined(_pairs(known_words), "mined")
+    two = mined(_pairs(known_words))
     known_pairs = context.broadcast(bit_set(two, bits, salted=True))
-    more = mined(_longer(known_pairs), "mined")
+    more = mined(_longer(known_pairs))
     candidates = context.broadcast(bit_set(one.union(two).union(more), bits, salted=False))
     counted = mapped(rows, _texts(limit, candidates), "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
     found = staged(counted.where(F.col("n") >= support), "phrases")

@@ -13,8 +13,7 @@ are split into `SHARDS` shards by the hash of their text, and the SON rule does
 What is locally frequent is passed on as a bit set of fixed size (2^BITS bits, by 64-bit hash of language, phrase and shard), so
 the broadcast does not grow with the data. Its false hits, like equal hashes in mining, only add candidates; the exact count
 by text decides. Counts of hashes travel packed, as sorted arrays per shard and range of hashes, of which there are
-enough for one per `BUCKET_WORDS` words. In step 3 phrases within one block of `SLICE` bytes are told apart by 64-bit hash before their texts are
-taken.
+enough for one per `BUCKET_WORDS` words. In step 3 a task tells phrases apart by 64-bit hash before it takes their texts.
 
 Then every frequent phrase of two to four words is scored: cut after its first k words, l and r are the frequencies of both
 parts, and the lowest floor(2000000 a / (l + r)) over all cuts counts, the smallest k among equal ones. Products are
@@ -48,6 +47,8 @@ BITS = 26
 TOP = 2000
 SLICE = 4 << 20
 HELD = 2_000_000
+HELD_TEXTS = 400_000
+GROUPS = 100_000
 BUCKET_WORDS = 4_000_000
 BUCKET = 32768  # bits of one row of bitmap_construct_agg
 SEPARATOR = byte_set(*b".,;:!?", (10, 13))
@@ -180,15 +181,25 @@ PACKED = "lang string, g long, bucket int, total long, keys binary, counts binar
 
 
 def locally_frequent(packed: DataFrame, least: DataFrame) -> DataFrame:
-    """(key, g) of the hashes that reach their group's support in all packed rows together."""
+    """(key, g) of the hashes that reach their group's support in all packed rows together.
+
+    The supports of up to `GROUPS` groups go along with the function; more are joined to the packed rows.
+    """
+    known = {r["g"]: r["least"] for r in least.limit(GROUPS + 1).collect()}
+    rows = packed.select("g", "bucket", "keys", "counts")
+    if len(known) > GROUPS:
+        rows, known = rows.join(least, "g"), None
+
     def merge(rows: pa.Table) -> pa.Table:
+        g = rows.column("g")[0].as_py()
+        need = known.get(g) if known is not None else rows.column("least")[0].as_py()
         keys, counts = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("counts", np.uint32)))
         keys, counts = summed(keys, counts)
-        keys = keys[counts >= rows.column("least")[0].as_py()]
-        return pa.table({"key": _long(keys), "g": pa.array([rows.column("g")[0].as_py()] * len(keys), pa.int64())})
+        keys = keys[counts >= need] if need is not None else keys[:0]
+        return pa.table({"key": _long(keys), "g": pa.array([g] * len(keys), pa.int64())})
 
     ship(packed.sparkSession)
-    return packed.select("g", "bucket", "keys", "counts").join(least, "g").groupBy("g", "bucket").applyInArrow(merge, "key long, g long")
+    return rows.groupBy("g", "bucket").applyInArrow(merge, "key long, g long")
 
 
 # Bit sets -----------------------------------------------------------------------------------------------------------
@@ -269,17 +280,31 @@ def _longer(pairs) -> Starts:
 
 
 def _texts(limit: int, candidates) -> Mapper:
-    """Counts per block of the candidates, with their texts."""
+    """Counts of the candidates with their texts, gathered over the blocks of a task."""
+    def rows_of(held: dict[int, list]) -> pa.RecordBatch:
+        columns = list(zip(*held.values())) or [[]] * 4
+        kinds = (pa.string(), pa.int32(), pa.binary(), pa.int64())
+        lang, words, phrase, n = (pa.array(c, t) for c, t in zip(columns, kinds))
+        return pa.RecordBatch.from_arrays([lang, words, phrase.cast(pa.string()), n], ["lang", "words", "phrase", "n"])
+
     def run(batches: Batches) -> Batches:
+        held: dict[int, list] = {}
         for batch, rows, b in blocks(batches, limit):
+            names = batch.column(0).take(pa.array(rows, pa.int64())).to_pylist()
             for k in range(1, WORDS + 1):
                 at = np.flatnonzero(b.whole(k))
                 at = at[candidates.value.holds(b.key(k)[at])]
-                _, first, n = np.unique(b.key(k)[at], return_index=True, return_counts=True)
-                at = at[first]
-                texts = pa.array([b.text(i, k) for i in at.tolist()], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(rows, np.int64)[b.row[at]])), pa.array(np.full(len(n), k, np.int32)), texts, pa.array(n)],
-                                                 ["lang", "words", "phrase", "n"])
+                keys, first, n = np.unique(b.key(k)[at], return_index=True, return_counts=True)
+                for key, i, count in zip(keys.tolist(), at[first].tolist(), n.tolist()):
+                    known = held.get(key)
+                    if known is None:
+                        held[key] = [names[b.row[i]], k, b.text(i, k), count]
+                    else:
+                        known[3] += count
+            if len(held) >= HELD_TEXTS:
+                yield rows_of(held)
+                held = {}
+        yield rows_of(held)
     return run
 
 

@@ -10,9 +10,9 @@ are split into `SHARDS` shards by the hash of their text, and the SON rule does
 2. The union of all locally frequent phrases is the candidate set.
 3. One more pass counts all candidates over all rows exactly, by their texts.
 
-What is locally frequent is passed on as a bit set of fixed size (2^BITS bits, by 64-bit hash of language, phrase and shard), so
+What is locally frequent is passed on as a Bloom filter of fixed size (2^BITS bits, by 64-bit hash of language, phrase and shard), so
 the broadcast does not grow with the data. Its false hits, like equal hashes in mining, only add candidates; the exact count
-by text decides. Counts of hashes travel packed, as sorted arrays per shard and range of hashes, of which there are
+by text decides. Counts of hashes travel packed, as sorted arrays per range of hashes, of which there are
 enough for one per `BUCKET_WORDS` words. In step 3 a task tells phrases apart by 64-bit hash before it takes their texts.
 
 Then every frequent phrase of two to four words is scored: cut after its first k words, l and r are the frequencies of both
@@ -41,9 +41,10 @@ from invoicelake.llm.words import BASE, FOLDED, Batches, Mapper, mapped, mix, sh
 from invoicelake.session import staged
 
 SUPPORT = 30
-SHARDS = 4
+SHARDS = 3
 WORDS = 4
-BITS = 26
+BITS = 27
+HASHES = 3
 TOP = 2000
 SLICE = 4 << 20
 HELD = 2_000_000
@@ -143,8 +144,9 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Tally:
     """Counts of hashes per group, gathered over the blocks of a task and given out as packed rows.
 
-    A packed row holds the sorted hashes of one group in one of `buckets` equal ranges, so the shuffle moves a few large rows
-    and not a row per phrase. After `HELD` different hashes the counts go out and the tally starts anew.
+    A packed row holds the hashes in one of `buckets` equal ranges: group by group (`gs`, with `sizes` hashes each), sorted. So
+    the shuffle moves one row per task and range, not one per phrase. After `HELD` different hashes the counts go out and the
+    tally starts anew.
     """
 
     def __init__(self, buckets: int):
@@ -165,41 +167,52 @@ class Tally:
                 self.size += len(first)
 
     def rows(self) -> Batches:
-        for g, parts in self.parts.items():
-            keys, counts = summed(*map(np.concatenate, zip(*parts))) if len(parts) > 1 else parts[0]
-            edges = np.concatenate([[0], np.searchsorted(keys, self.bounds), [len(keys)]])
-            filled = np.flatnonzero(np.diff(edges))
-            cuts = [(int(edges[b]), int(edges[b + 1])) for b in filled]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([self.lang.get(g)] * len(cuts), pa.string()), _long(np.full(len(cuts), g, np.uint64)), pa.array(filled.astype(np.int32)),
-                 pa.array([int(counts[a:b].sum()) for a, b in cuts], pa.int64()), pa.array([keys[a:b].tobytes() for a, b in cuts], pa.binary()),
-                 pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in cuts], pa.binary())], ["lang", "g", "bucket", "total", "keys", "counts"])
+        merged = {g: summed(*map(np.concatenate, zip(*parts))) if len(parts) > 1 else parts[0] for g, parts in self.parts.items()}
+        edges = {g: np.concatenate([[0], np.searchsorted(keys, self.bounds), [len(keys)]]).tolist() for g, (keys, _) in merged.items()}
+        for bucket in range(len(self.bounds) + 1):
+            own = [(g, edges[g][bucket], edges[g][bucket + 1]) for g in merged if edges[g][bucket] < edges[g][bucket + 1]]
+            if own:
+                counts = [merged[g][1][a:b].astype(np.uint32) for g, a, b in own]
+                row = {"bucket": bucket, "gs": np.array([g for g, _, _ in own], np.uint64).view(np.int64).tolist(), "langs": [self.lang[g] for g, _, _ in own],
+                       "sizes": [b - a for _, a, b in own], "totals": [int(c.sum()) for c in counts],
+                       "keys": b"".join(merged[g][0][a:b].tobytes() for g, a, b in own), "counts": b"".join(c.tobytes() for c in counts)}
+                yield pa.RecordBatch.from_pylist([row], PACKED_ARROW)
         self.parts, self.size = {}, 0
 
 
-PACKED = "lang string, g long, bucket int, total long, keys binary, counts binary"
+PACKED = "bucket int, gs array<long>, langs array<string>, sizes array<long>, totals array<long>, keys binary, counts binary"
+PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("gs", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())),
+                          ("totals", pa.list_(pa.int64())), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
 def locally_frequent(packed: DataFrame, least: DataFrame) -> DataFrame:
     """(key, g) of the hashes that reach their group's support in all packed rows together.
 
-    The supports of up to `GROUPS` groups go along with the function; more are joined to the packed rows.
+    The supports of up to `GROUPS` groups go along with the function; with more of them the counts are joined to their supports.
     """
     known = {r["g"]: r["least"] for r in least.limit(GROUPS + 1).collect()}
-    rows = packed.select("g", "bucket", "keys", "counts")
-    if len(known) > GROUPS:
-        rows, known = rows.join(least, "g"), None
+    few = len(known) <= GROUPS
+    known = known if few else {}
 
     def merge(rows: pa.Table) -> pa.Table:
-        g = rows.column("g")[0].as_py()
-        need = known.get(g) if known is not None else rows.column("least")[0].as_py()
         keys, counts = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("counts", np.uint32)))
-        keys, counts = summed(keys, counts)
-        keys = keys[counts >= need] if need is not None else keys[:0]
-        return pa.table({"key": _long(keys), "g": pa.array([g] * len(keys), pa.int64())})
+        gs, sizes = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("gs", "sizes"))
+        groups, at = np.unique(gs, return_inverse=True)
+        group = np.repeat(at, sizes)
+        found = []
+        for j, g in enumerate(groups.tolist()):
+            need = known.get(g) if few else 1
+            if need is not None:
+                own = group == j
+                k, n = summed(keys[own], counts[own])
+                found.append((k[n >= need], n[n >= need], g))
+        empty = [np.zeros(0, np.uint64)]
+        return pa.table({"key": _long(np.concatenate([k for k, _, _ in found] or empty)), "g": pa.array(np.concatenate([np.full(len(k), g) for k, _, g in found] or empty).astype(np.int64)),
+                         "n": pa.array(np.concatenate([n for _, n, _ in found] or empty).astype(np.int64))})
 
     ship(packed.sparkSession)
-    return rows.groupBy("g", "bucket").applyInArrow(merge, "key long, g long")
+    merged = packed.select("bucket", "gs", "sizes", "keys", "counts").groupBy("bucket").applyInArrow(merge, "key long, g long, n long")
+    return (merged if few else merged.join(least, "g").where("n >= least")).select("key", "g")
 
 
 # Bit sets -----------------------------------------------------------------------------------------------------------
@@ -207,12 +220,15 @@ def locally_frequent(packed: DataFrame, least: DataFrame) -> DataFrame:
 NO_SALT = np.zeros(1, np.uint64)
 
 
-def places(key: np.ndarray, salt: np.ndarray, bits: int) -> np.ndarray:
-    return mix(key ^ mix(salt + np.uint64(1))) >> np.uint64(64 - bits)
+def places(key: np.ndarray, salt: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The HASHES bits of every hash."""
+    h = mix(key ^ mix(salt + np.uint64(1)))
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return [(h + np.uint64(i) * step) & np.uint64((1 << bits) - 1) for i in range(HASHES)]
 
 
 class BitSet:
-    """A set of hashes as 2^bits bits, which may also hold others."""
+    """A set of hashes as 2^bits bits (a Bloom filter), which may also hold others."""
 
     def __init__(self, bits: int, rows: Iterator):
         self.bits = bits
@@ -223,8 +239,10 @@ class BitSet:
             self.bytes[low:low + len(part)] = part[:len(self.bytes) - low]
 
     def holds(self, key: np.ndarray, salt: np.ndarray = NO_SALT) -> np.ndarray:
-        place = places(key, salt, self.bits)
-        return (self.bytes[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 != 0
+        found = np.ones(len(key), bool)
+        for place in places(key, salt, self.bits):
+            found &= (self.bytes[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 != 0
+        return found
 
 
 def bit_set(keys: DataFrame, bits: int, salted: bool) -> BitSet:
@@ -232,7 +250,7 @@ def bit_set(keys: DataFrame, bits: int, salted: bool) -> BitSet:
     def run(batches: Batches) -> Batches:
         for batch in batches:
             key, g = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            place = np.unique(places(key, g if salted else NO_SALT, bits))
+            place = np.unique(np.concatenate(places(key, g if salted else NO_SALT, bits)))
             yield pa.RecordBatch.from_arrays([_long(place // np.uint64(BUCKET)), _long(place % np.uint64(BUCKET))], ["bucket", "bit"])
 
     found = mapped(keys.select("key", "g"), run, "bucket long, bit long").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
@@ -318,10 +336,11 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, shards: int = SHAR
     context = docs.sparkSession.sparkContext
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     rows = docs.select(lang.alias("lang"), F.xxhash64(lang).alias("l"), F.xxhash64(lang, F.pmod(F.xxhash64("text"), F.lit(shards))).alias("g"), "text")
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     words = staged(mapped(rows, _packed(limit, buckets, _words), PACKED), "words")
-    of_shard = words.groupBy("lang", "g").agg(F.sum("total").alias("of_shard"))
+    parts = words.select(F.explode(F.arrays_zip("langs", "gs", "totals")).alias("p")).select(F.col("p.langs").alias("lang"), F.col("p.gs").alias("g"), "p.totals")
+    of_shard = parts.groupBy("lang", "g").agg(F.sum("totals").alias("of_shard"))
     totals = staged(of_shard.groupBy("lang").agg(F.sum("of_shard").alias("of_lang")), "totals")
     least = staged(of_shard.join(totals.where(F.col("of_lang") >= support), "lang").select("g", F.expr(_exact_ceiling(support)).alias("least")), "support")
     buckets = max(buckets, (totals.agg(F.sum("of_lang")).first()[0] or 0) // BUCKET_WORDS)

@@ -1,7 +1,8 @@
 """Phrase collocations by SON partitioning.
 
 Phrases of one to four words are counted per language within pieces of text; a phrase is frequent from `SUPPORT` on. The rows
-are split into `SHARDS` shards by the hash of their text, and the SON rule does the rest:
+are split into `SHARDS` shards by the hash of doc_id and text, which deals copies of a text over all shards, and the SON rule
+does the rest:
 
 1. Every shard is mined completely at proportionally lowered support. A shard that holds n_s of the n words of a language
    needs ceil(SUPPORT * n_s / n) occurrences; a phrase below that in every shard is below SUPPORT altogether. A shard
@@ -131,6 +132,10 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64), pa.int64())
 
 
+def _signed(values: list[int]) -> list[int]:
+    return np.array(values, np.uint64).view(np.int64).tolist()
+
+
 # Counts of hashes ---------------------------------------------------------------------------------------------------
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +150,8 @@ class Tally:
     """Counts of hashes per group, gathered over the blocks of a task and given out as packed rows.
 
     A packed row holds the hashes in one of `buckets` equal ranges: group by group (`gs`, with `sizes` hashes each), sorted. So
-    the shuffle moves one row per task and range, not one per phrase. After `HELD` different hashes the counts go out and the
-    tally starts anew.
+    the shuffle moves one row per task and range, not one per phrase. The first row also has the sum of each group's counts.
+    After `HELD` different hashes the counts go out and the tally starts anew.
     """
 
     def __init__(self, buckets: int):
@@ -169,20 +174,21 @@ class Tally:
     def rows(self) -> Batches:
         merged = {g: summed(*map(np.concatenate, zip(*parts))) if len(parts) > 1 else parts[0] for g, parts in self.parts.items()}
         edges = {g: np.concatenate([[0], np.searchsorted(keys, self.bounds), [len(keys)]]).tolist() for g, (keys, _) in merged.items()}
+        totals = [(self.lang[g], int(n.sum())) for g, (_, n) in merged.items()]
         for bucket in range(len(self.bounds) + 1):
             own = [(g, edges[g][bucket], edges[g][bucket + 1]) for g in merged if edges[g][bucket] < edges[g][bucket + 1]]
             if own:
-                counts = [merged[g][1][a:b].astype(np.uint32) for g, a, b in own]
-                row = {"bucket": bucket, "gs": np.array([g for g, _, _ in own], np.uint64).view(np.int64).tolist(), "langs": [self.lang[g] for g, _, _ in own],
-                       "sizes": [b - a for _, a, b in own], "totals": [int(c.sum()) for c in counts],
-                       "keys": b"".join(merged[g][0][a:b].tobytes() for g, a, b in own), "counts": b"".join(c.tobytes() for c in counts)}
+                row = {"bucket": bucket, "gs": _signed([g for g, _, _ in own]), "sizes": [b - a for _, a, b in own],
+                       "keys": b"".join(merged[g][0][a:b].tobytes() for g, a, b in own), "counts": b"".join(merged[g][1][a:b].astype(np.uint32).tobytes() for g, a, b in own),
+                       "totals": [{"lang": lang, "g": g, "n": n} for g, (lang, n) in zip(_signed(list(merged)), totals)]}
+                totals = []
                 yield pa.RecordBatch.from_pylist([row], PACKED_ARROW)
         self.parts, self.size = {}, 0
 
 
-PACKED = "bucket int, gs array<long>, langs array<string>, sizes array<long>, totals array<long>, keys binary, counts binary"
-PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("gs", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())),
-                          ("totals", pa.list_(pa.int64())), ("keys", pa.binary()), ("counts", pa.binary())])
+PACKED = "bucket int, gs array<long>, sizes array<long>, keys binary, counts binary, totals array<struct<lang: string, g: long, n: long>>"
+PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("gs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("keys", pa.binary()), ("counts", pa.binary()),
+                          ("totals", pa.list_(pa.struct([("lang", pa.string()), ("g", pa.int64()), ("n", pa.int64())])))])
 
 
 def locally_frequent(packed: DataFrame, least: DataFrame) -> DataFrame:
@@ -335,12 +341,11 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, shards: int = SHAR
     """lang, words, phrase, n of all phrases of one to WORDS words with at least `support` occurrences; and lang, of_lang (all words)."""
     context = docs.sparkSession.sparkContext
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    rows = docs.select(lang.alias("lang"), F.xxhash64(lang).alias("l"), F.xxhash64(lang, F.pmod(F.xxhash64("text"), F.lit(shards))).alias("g"), "text")
+    rows = docs.select(lang.alias("lang"), F.xxhash64(lang).alias("l"), F.xxhash64(lang, F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))).alias("g"), "text")
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     words = staged(mapped(rows, _packed(limit, buckets, _words), PACKED), "words")
-    parts = words.select(F.explode(F.arrays_zip("langs", "gs", "totals")).alias("p")).select(F.col("p.langs").alias("lang"), F.col("p.gs").alias("g"), "p.totals")
-    of_shard = parts.groupBy("lang", "g").agg(F.sum("totals").alias("of_shard"))
+    of_shard = words.select(F.explode("totals").alias("t")).groupBy("t.lang", "t.g").agg(F.sum("t.n").alias("of_shard"))
     totals = staged(of_shard.groupBy("lang").agg(F.sum("of_shard").alias("of_lang")), "totals")
     least = staged(of_shard.join(totals.where(F.col("of_lang") >= support), "lang").select("g", F.expr(_exact_ceiling(support)).alias("least")), "support")
     buckets = max(buckets, (totals.agg(F.sum("of_lang")).first()[0] or 0) // BUCKET_WORDS)

@@ -33,6 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,12 +45,12 @@ from invoicelake.session import staged
 SUPPORT = 30
 SHARDS = 3
 WORDS = 4
-BITS = 27
+BITS = 26
 HASHES = 3
 TOP = 2000
 SLICE = 4 << 20
 HELD = 2_000_000
-HELD_TEXTS = 400_000
+HELD_TEXTS = 500_000
 GROUPS = 100_000
 BUCKET_WORDS = 4_000_000
 BUCKET = 32768  # bits of one row of bitmap_construct_agg
@@ -81,7 +82,7 @@ class Block:
 
     def __init__(self, texts: list[bytes], lang: list[int], group: list[int]):
         data, buffer, offset = joined(texts)
-        self.lower = buffer.translate(LOWER)
+        self.buffer = buffer
         self.start, self.end = word_borders(data, WORD)
         self.row = np.searchsorted(offset, self.start, "right") - 1
         self.piece = np.cumsum(SEPARATOR[data], dtype=np.int32)[self.start]
@@ -106,7 +107,7 @@ class Block:
         return ok
 
     def text(self, i: int, k: int) -> bytes:
-        return b" ".join([self.lower[self.start[j]:self.end[j]] for j in range(i, i + k)])
+        return b" ".join([self.buffer[self.start[j]:self.end[j]] for j in range(i, i + k)]).translate(LOWER)
 
 
 def blocks(batches: Batches, limit: int) -> Iterator[tuple[pa.RecordBatch, list[int], Block]]:
@@ -303,35 +304,73 @@ def _longer(pairs) -> Starts:
     return starts
 
 
-def _texts(limit: int, candidates) -> Mapper:
-    """Counts of the candidates with their texts, gathered over the blocks of a task."""
-    def rows_of(held: dict[int, list]) -> pa.RecordBatch:
-        columns = list(zip(*held.values())) or [[]] * 4
-        kinds = (pa.string(), pa.int32(), pa.binary(), pa.int64())
-        lang, words, phrase, n = (pa.array(c, t) for c, t in zip(columns, kinds))
-        return pa.RecordBatch.from_arrays([lang, words, phrase.cast(pa.string()), n], ["lang", "words", "phrase", "n"])
+class Texts:
+    """Counts of phrases with their texts, gathered over the blocks of a task and given out as one packed row per range of hashes."""
 
+    def __init__(self, buckets: int):
+        self.bounds = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # known hashes in order, and where their phrases are
+        self.phrases: list[tuple[str, int, bytes]] = []
+        self.counts = np.zeros(0, np.int64)
+
+    def add(self, block: Block, k: int, at: np.ndarray, names: list[str]) -> None:
+        keys, first, n = np.unique(block.key(k)[at], return_index=True, return_counts=True)
+        near = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = near < len(self.keys)
+        known[inside] = self.keys[near[inside]] == keys[inside]
+        self.counts[self.place[near[known]]] += n[known]
+        new = at[first[~known]]
+        begin = len(self.phrases)
+        self.phrases += [(names[r], k, block.text(i, k)) for i, r in zip(new.tolist(), block.row[new].tolist())]
+        self.counts = np.concatenate([self.counts, n[~known]])
+        merged = np.concatenate([self.keys, keys[~known]])
+        order = np.argsort(merged, kind="stable")
+        self.keys, self.place = merged[order], np.concatenate([self.place, np.arange(begin, len(self.phrases))])[order]
+
+    def rows(self) -> Batches:
+        edges = np.concatenate([[0], np.searchsorted(self.keys, self.bounds), [len(self.keys)]]).tolist()
+        for bucket, (a, b) in enumerate(zip(edges, edges[1:])):
+            if b > a:
+                lang, words, phrase = zip(*[self.phrases[i] for i in self.place[a:b].tolist()])
+                values = [pa.array(lang, pa.string()), pa.array(words, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(self.counts[self.place[a:b]])]
+                whole = pa.array([0, b - a], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.ListArray.from_arrays(whole, v) for v in values]], ["bucket", "lang", "words", "phrase", "n"])
+        self.clear()
+
+
+PACKED_TEXTS = "bucket int, lang array<string>, words array<int>, phrase array<string>, n array<long>"
+
+
+def _texts(limit: int, buckets: int, candidates) -> Mapper:
     def run(batches: Batches) -> Batches:
-        held: dict[int, list] = {}
+        held = Texts(buckets)
         for batch, rows, b in blocks(batches, limit):
             names = batch.column(0).take(pa.array(rows, pa.int64())).to_pylist()
             for k in range(1, WORDS + 1):
                 at = np.flatnonzero(b.whole(k))
-                at = at[candidates.value.holds(b.key(k)[at])]
-                keys, first, n = np.unique(b.key(k)[at], return_index=True, return_counts=True)
-                for key, i, count in zip(keys.tolist(), at[first].tolist(), n.tolist()):
-                    known = held.get(key)
-                    if known is None:
-                        held[key] = [names[b.row[i]], k, b.text(i, k), count]
-                    else:
-                        known[3] += count
-            if len(held) >= HELD_TEXTS:
-                yield rows_of(held)
-                held = {}
-        yield rows_of(held)
+                held.add(b, k, at[candidates.value.holds(b.key(k)[at])], names)
+            if len(held.phrases) >= HELD_TEXTS:
+                yield from held.rows()
+        yield from held.rows()
     return run
 
 
+def exact_counts(packed: DataFrame, support: int) -> DataFrame:
+    """lang, words, phrase, n of the phrases that reach the support in all packed rows together, compared by text."""
+    def merge(rows: pa.Table) -> pa.Table:
+        flat = pa.table({c: pa.chunked_array([x.flatten() for x in rows.column(c).chunks]) for c in ("lang", "words", "phrase", "n")})
+        total = flat.group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")])
+        total = total.filter(pc.greater_equal(total.column("n_sum"), support))
+        return pa.table({c: total.column(c if c != "n" else "n_sum") for c in ("lang", "words", "phrase", "n")})
+
+    ship(packed.sparkSession)
+    return packed.groupBy("bucket").applyInArrow(merge, "lang string, words int, phrase string, n long")
+
+
 def _exact_ceiling(support: int) -> str:
     """ceil(support * of_shard / of_lang)"""
     return f"cast((cast(of_shard as decimal(20,0)) * {support} + of_lang - 1) div of_lang as long)"
@@ -359,8 +398,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, shards: int = SHAR
     known_pairs = context.broadcast(bit_set(two, bits, salted=True))
     more = mined(_longer(known_pairs))
     candidates = context.broadcast(bit_set(one.union(two).union(more), bits, salted=False))
-    counted = mapped(rows, _texts(limit, candidates), "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    found = staged(counted.where(F.col("n") >= support), "phrases")
+    found = staged(exact_counts(mapped(rows, _texts(limit, buckets, candidates), PACKED_TEXTS), support), "phrases")
     for used in (known_words, known_pairs, candidates):
         used.destroy()
     return found, totals

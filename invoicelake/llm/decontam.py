@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from invoicelake.llm.words import Mapper, Words, mapped, mix, text_slices
+from invoicelake.llm.words import Mapper, Words, mapped, mix, rows_with, text_slices, with_row_key
+from invoicelake.session import staged
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -200,21 +201,28 @@ def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes:
 
 
 def without_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of `docs` in which no window of a test item occurs, with all their columns."""
-    def keep(block) -> Mapper:
+    """The rows of `docs` in which no window of a test item occurs, with all their columns.
+
+    Each block of test items is one pass over the texts, written before the next one starts; only the ids and hashes of
+    documents with a hit leave the tasks.
+    """
+    keyed, key = with_row_key(docs)
+    rows = keyed.select("doc_id", key, "text")
+
+    def hits(block) -> Mapper:
         def run(batches):
             for batch, texts in text_slices(batches):
                 words = Words(texts)
-                places = search(block.value, words)[0]
-                clean = np.ones(len(texts), bool)
-                clean[words.text[places]] = False
-                yield batch.filter(pa.array(clean))
+                found = np.unique(words.text[search(block.value, words)[0]])
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(found, pa.int64())) for i in (0, 1)], ["doc_id", key])
         return run
 
-    out = docs
+    out = keyed
     for block in _blocks(bench, window, block_bytes):
-        out = mapped(out, keep(block), docs.schema)
-    return out
+        found = staged(mapped(rows, hits(block), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {key} long"), "hits")
+        block.destroy()
+        out = rows_with(out, found, key, "left_anti").withColumn(key, F.xxhash64("doc_id", "text"))
+    return out.drop(key)
 
 
 ORACLE = f"""

@@ -48,11 +48,10 @@ HASHED = 64
 #: The four patterns.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # the same matches as without look-behind and ++, in linear time
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-DOTTED = re.compile(r"[0-9]+(?:[.-][0-9]+)+")
-NEAR = re.compile(r"[^\s@]*@[^\s@]*")
+DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:[.-][0-9]++)++")
 DIGITS = re.compile(r"[0-9]")
 
 
@@ -273,15 +272,21 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_mentions: int = SAMPLE_MENTIONS) -> Field:
-    """Weights from a bounded sample; of the sample only the mentions reach the driver."""
+    """Weights from a bounded sample; of the sample only the mentions reach the driver.
+
+    The sample is found on hashes alone, so no task holds texts that are not in it. Of a text with more mentions every second,
+    third, ... one is taken.
+    """
     rows = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]")).withColumn("order", F.xxhash64("doc_id", "text"))
-    picked = rows.orderBy("order").limit(sample_docs).select("text")
+    last = rows.select("order").distinct().orderBy("order").limit(sample_docs).agg(F.max("order")).first()[0]
+    picked = rows.where(F.col("order") <= F.lit(last)).dropDuplicates(["order"]).select("text")
 
     def run(batches):
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
-                nodes = mentions(text)[1][:sample_mentions]
+                nodes = mentions(text)[1]
+                nodes = nodes[::max(1, -(-len(nodes) // sample_mentions))]
                 out.append([{"label": m.label or 0, "keys": m.keys, "features": m.features} for m in nodes])
             kind = pa.list_(pa.struct([("label", pa.int32()), ("keys", pa.list_(pa.string())), ("features", pa.list_(pa.int32()))]))
             yield pa.RecordBatch.from_arrays([pa.array(out, kind)], ["nodes"])

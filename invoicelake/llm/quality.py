@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from invoicelake.llm.words import BASE, Mapper, Words, mapped, mix, text_slices
+from invoicelake.llm.words import BASE, Mapper, Words, mapped, mix, rows_with, text_slices, with_row_key
 from invoicelake.session import staged
 
 BITS = 18
@@ -176,20 +176,12 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, bits: int
 
 
 def sampled(docs: DataFrame, labels: DataFrame, k: int | None = None, bits: int = BITS) -> DataFrame:
-    """The rows of `docs` that are sampled, with all their columns; weights are worked out again in the scan, nothing is shuffled."""
-    scored, sample, model = weighed(docs, labels, bits)
+    """The rows of `docs` that are sampled, with all their columns: decided on written weights, applied by a join on doc_id and text hash."""
+    keyed, key = with_row_key(docs)
+    scored, sample, _ = weighed(keyed, labels, bits, extra=[key])
     low = threshold(scored, sample, k)
     if low is None:
         return docs
     if low >= 1 << 63:
         return docs.limit(0)
-
-    def keep(batches):
-        weigh = _weigh(model, bits)
-        for batch in batches:
-            at = [batch.schema.get_field_index(c) for c in ("doc_id", "text")]
-            part = pa.RecordBatch.from_arrays([batch.column(i) for i in at], ["doc_id", "text"])
-            keys = [o for scored_part in weigh(iter([part])) for o in scored_part.column(scored_part.schema.get_field_index("o")).to_pylist()]
-            yield batch.filter(pa.array(np.array(keys, np.int64) >= low))
-
-    return mapped(docs, keep, docs.schema)
+    return rows_with(keyed, scored.where(F.col("o") >= low), key)

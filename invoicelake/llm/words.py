@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
 SLICE = 2 << 20
@@ -158,6 +159,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """A column that is equal for rows with equal doc_id and text (a hash of both), and its name."""
+    key = fresh(docs, "row_key")
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")), key
+
+
+def rows_with(docs: DataFrame, chosen: DataFrame, key: str, kind: str = "left_semi") -> DataFrame:
+    """Rows of a table from `with_row_key` whose doc_id and key are in `chosen` (or are not, for left_anti), without the key.
+
+    The texts stay in the JVM: tasks decide on narrow rows, and this join applies the decision.
+    """
+    few = chosen.select(F.col("doc_id").alias("_chosen_id"), F.col(key).alias("_chosen_key")).distinct()
+    return docs.join(few, (F.col(key) == F.col("_chosen_key")) & F.col("doc_id").eqNullSafe(F.col("_chosen_id")), kind).drop(key)
 
 
 def ship(spark: SparkSession) -> None:

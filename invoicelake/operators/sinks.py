@@ -50,7 +50,7 @@ def log_rows(outcomes: DataFrame, at: datetime | None = None) -> DataFrame:
 
 def archive_rows(imported: DataFrame) -> DataFrame:
     path = archive_path(F.col("invoice_date"), F.col("sha256"), F.col("file_name"))
-    return imported.select("arrival_seq", F.date_format("invoice_date", "yyyy").alias("year"),
+    return imported.select("arrival_seq", "doc", F.date_format("invoice_date", "yyyy").alias("year"),
                            F.date_format("invoice_date", "MM").alias("month"), path.alias("archive_path"))
 
 

@@ -426,11 +426,59 @@ def store_two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("file_name", "status", F.coalesce("stored", F.lit(0)).alias("stored"), F.coalesce(F.col("line_ids") == F.col("lines"), F.lit(False)).alias("has_lines"))
 
 
+def incremental_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First deliveries in two batches, second ones as a third that looks up the stored index (a level is merged on the way).
+
+    Returns the third batch: status, whether the contents were read, and whether the invoice it repeats was stored before."""
+    root = scratch_path(spark, "incremental")
+    store = Store(spark, f"{root}/store", index_fan=2).create()
+    packed = staged(_documents(spark, sf_dir), "packed")
+    columns = [c for c in packed.columns if c not in ("copy", "arrival_seq")]
+    half = packed.where("copy = 0").agg(F.expr("(min(arrival_seq) + max(arrival_seq)) div 2")).first()[0]
+    for number, part in enumerate((F.col("arrival_seq") <= half, F.col("arrival_seq") > half)):
+        importing.import_into(store, number, packed.where((F.col("copy") == 0) & part).select(*columns), synth.settings(), at=RUN_TIME)
+    before = store.snapshot().next_seq
+    batch = importing.import_into(store, 2, packed.where("copy = 1").select(*columns), synth.settings(), at=RUN_TIME)
+    read = batch.read.select("doc", F.lit(True).alias("was_read"))
+    return batch.outcomes.drop("was_read").join(read, "doc", "left").select(
+        "file_name", "status", F.coalesce("was_read", F.lit(False)).alias("was_read"), F.coalesce(F.col("invoice_id") < before, F.lit(False)).alias("repeats_stored"))
+
+
+def stored_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of a batch - invoices, and the text documents, which no reader takes - by disposition, with the hash of the bytes kept."""
+    root = scratch_path(spark, "originals")
+    store = Store(spark, f"{root}/store").create()
+    name = F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt"))
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(name.alias("path"), name.alias("file_name"), F.lit(".txt").alias("ext"), F.sha2(content, 256).alias("sha256"), content.alias("content"))
+    invoices = _documents(spark, sf_dir).select(*texts.columns)
+    importing.import_into(store, 0, texts.unionByName(invoices), synth.settings(), at=RUN_TIME)
+    kept = store.with_content(store.table("dispositions").select("doc", "file_name", "disposition")).withColumn("kept", F.sha2("content", 256)).drop("content")
+    named = store.table("originals").select("doc", "sha256", "ext")
+    return kept.join(named, "doc").select("file_name", "disposition", (F.col("kept") == F.col("sha256")).alias("intact"), F.when(F.col("ext") == ".txt", F.col("kept")).alias("kept_sha256"))
+
+
+def store_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All text documents as PDFs without an answer, then a second batch with a refusal for half of them; what waits and what is logged."""
+    root = scratch_path(spark, "pending")
+    store = Store(spark, f"{root}/store").create()
+    name = F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".pdf"))
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    pdfs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(name.alias("path"), name.alias("file_name"), F.lit(".pdf").alias("ext"), F.sha2(content, 256).alias("sha256"), content.alias("content"))
+    none = F.lit(None).cast("string")
+    answers = pdfs.where("sha256 < '8'").select("sha256", F.lit(1).alias("attempt"), none.alias("error_kind"), none.alias("error"), F.lit(200).alias("http_status"), F.lit("stop").alias("finish_reason"),
+                                                F.lit("Nicht lesbar").alias("refusal"), F.lit("modell-1").alias("model"), F.lit(2500).alias("total_tokens"), none.alias("json"))
+    importing.import_into(store, 0, pdfs, synth.settings(), at=RUN_TIME)
+    importing.import_into(store, 1, pdfs.limit(0), synth.settings(), at=RUN_TIME, answers=answers)
+    logged = store.table("processing_log").select("file_name", F.col("status").alias("state"), F.col("file_sha256").alias("sha256"))
+    return logged.unionByName(store.pending().select("file_name", F.lit("waiting").alias("state"), "sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     validation_report, invoice_totals, vat_breakdown, line_arithmetic_errors, header_checks, tax_checks, rejected_invoices,
     supplier_keys, invoice_number_keys, file_hash_duplicates, content_duplicates_lookup, sequential_dedup,
     import_outcomes, run_summary, item_texts, archive_paths, inbox_disposition, error_reports,
     report_invoices, report_lines, report_log, log_view, latest_invoices, latest_log, invoice_lines_of, integrity_audit,
     ubl_round_trip, cii_round_trip, syntax_routing, embedded_xml_choice, model_answers, second_read, check_run, xml_import, stream_import,
-    store_two_writers,
+    store_two_writers, incremental_import, stored_originals, store_pending,
 )}

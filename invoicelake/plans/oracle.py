@@ -476,4 +476,16 @@ FROM oo LEFT JOIN (SELECT doc_id, string_agg(text, chr(10) ORDER BY text) AS err
 SELECT 'inv_' || (arrival_seq // 1000000000000) || '_' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.xml' AS file_name, status,
        CAST(invoice_id IS NOT NULL AS BIGINT) AS stored, invoice_id IS NOT NULL AS has_lines
 FROM oo""", recursive=True),
+    "incremental_import": with_ctes(XML_OUTCOMES, """
+SELECT 'inv_1_' || lpad(CAST(b.doc_id AS VARCHAR), 12, '0') || '.xml' AS file_name, b.status, NOT (b.doc_id % 10 = 1 AND a.status = 'imported') AS was_read,
+       b.status = 'duplicate' AND b.invoice_id < 1000000000000 AS repeats_stored
+FROM oo b JOIN oo a ON a.doc_id = b.doc_id AND a.arrival_seq < 1000000000000 WHERE b.arrival_seq >= 1000000000000""", recursive=True),
+    "stored_originals": with_ctes(XML_OUTCOMES, """
+SELECT 'inv_' || (arrival_seq // 1000000000000) || '_' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.xml' AS file_name,
+       CASE status WHEN 'imported' THEN 'delete' WHEN 'duplicate' THEN 'duplicates' ELSE 'failed' END AS disposition, true AS intact, NULL AS kept_sha256
+FROM oo
+UNION ALL SELECT 'doc_' || doc_id || '.txt', 'failed', true, sha256(coalesce(text, '')) FROM documents""", recursive=True),
+    "store_pending": """
+SELECT 'doc_' || doc_id || '.pdf' AS file_name, CASE WHEN sha256(coalesce(text, '')) < '8' THEN 'failed' ELSE 'waiting' END AS state, sha256(coalesce(text, '')) AS sha256
+FROM documents""",
 }

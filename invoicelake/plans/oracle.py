@@ -321,7 +321,7 @@ an AS (
     WHEN first AND doc_id % 37 = 0 AND doc_id % 2 = 0 THEN {_READ_FAILED}'OpenAI hat die Datei abgelehnt (400): Anfrage abgelehnt'
     WHEN first AND doc_id % 37 = 0 THEN 'OpenAI-Fehler (500): Anfrage abgelehnt'
     WHEN first AND doc_id % 37 = 1 THEN 'OpenAI nicht erreichbar: Zeitüberschreitung'
-    WHEN first AND doc_id % 37 = 2 THEN 'Kein OpenAI-API-Key konfiguriert (OpenAI:ApiKey oder OPENAI_API_KEY).'
+    WHEN first AND doc_id % 37 = 2 THEN 'Für das Modell ist kein Zugang eingerichtet.'
     WHEN doc_id % 41 = 0 THEN {_READ_FAILED}'OpenAI hat die Verarbeitung abgelehnt: Nicht lesbar'
     WHEN doc_id % 43 = 0 THEN {_READ_FAILED}'Antwort von OpenAI wurde abgeschnitten (OpenAI:MaxOutputTokens erhöhen).'
     WHEN doc_id % 47 = 0 THEN {_READ_FAILED}'Leere Antwort von OpenAI.'

@@ -49,11 +49,11 @@ def test_inbox_import(spark, tmp_path):
     assert batch.outcomes.count() == 8
     messages = {r["file_name"]: (r["message"], r["errors"]) for r in store.table("processing_log").collect()}
     assert messages["a2.xml"][0] == "Identische Datei wurde bereits importiert (Rechnung RE-1, ID 1)."
-    assert messages["B.xml"][0] == "Rechnung re 1 von Bürobedarf & Söhne ist bereits importiert (ID 1, aus A1.xml)."
+    assert messages["B.xml"][0] == "Rechnung re 1 von Papierhof & Söhne ist bereits importiert (ID 1, aus A1.xml)."
     assert messages["A1.xml"] == ("Prüfung bestanden – gespeichert (ID 1).", None)
-    assert messages["C.xml"][1] == "Netto 738,40 + USt 140,30 ≠ Brutto 1,00."
+    assert messages["C.xml"][1] == "Netto 613,50 + USt 116,57 ≠ Brutto 1,00."
     invoices = {r["id"]: r for r in store.table("invoices").collect()}
-    assert invoices[1]["gross_total"] == D("878.70") and invoices[1]["supplier_key"] == "VAT:DE811234567"
+    assert invoices[1]["gross_total"] == D("730.07") and invoices[1]["supplier_key"] == "VAT:DE309457216"
     archived = {r["invoice_id"]: r for r in store.table("archive").collect()}
     assert archived.keys() == invoices.keys()
     assert bytes(archived[1]["content"]) == FILES["A1__xml"].encode() and archived[1]["year"] == "2026"
@@ -62,7 +62,7 @@ def test_inbox_import(spark, tmp_path):
     assert {k: m["disposition"] for k, m in moves.items()} == {"A1.xml": "delete", "a2.xml": "duplicates", "B.xml": "duplicates", "C.xml": "failed", "d.xml": "delete",
                                                              "e.xml": "failed", "notiz.txt": "failed", "mit leer.xml": "delete"}
     assert moves["C.xml"]["report"] == ("Datei:     C.xml\nZeitpunkt: 01.10.2026 08:00:00\nErgebnis:  Prüfung fehlgeschlagen – nicht gespeichert.\n"
-                                        "  - Netto 738,40 + USt 140,30 ≠ Brutto 1,00.\n")
+                                        "  - Netto 613,50 + USt 116,57 ≠ Brutto 1,00.\n")
     assert all(r["violations"] == 0 for r in integrity_audit(store.table("invoices"), store.table("invoice_lines"), store.table("processing_log")).collect())
     # The same batch again changes nothing; the same files as a new batch import nothing and get new names.
     assert import_into(store, 0, documents, SETTINGS, at=AT) is None
@@ -165,8 +165,8 @@ def test_check_run(spark, tmp_path):
     put(tmp_path / "in", A__xml=ubl("RE-1"), C__xml=ubl("RE-2", gross="1"), n__txt="x")
     got = {r["file_name"]: r["report"] for r in check_run(read_documents(spark, str(tmp_path / "in")), SETTINGS).collect()}
     assert got["A.xml"].splitlines()[0] == "=== A.xml" and got["A.xml"].endswith("    Prüfung: OK")
-    assert "    Nr. RE-1 vom 28.09.2026, fällig 28.10.2026, Bestellung " in got["A.xml"]
-    assert got["C.xml"].endswith("    Prüfung: FEHLER\n      - Netto 738,40 + USt 140,30 ≠ Brutto 1,00.")
+    assert "    Nr. RE-1 vom 17.09.2026, fällig 17.10.2026, Bestellung " in got["A.xml"]
+    assert got["C.xml"].endswith("    Prüfung: FEHLER\n      - Netto 613,50 + USt 116,57 ≠ Brutto 1,00.")
     assert got["n.txt"] == "=== n.txt\n    kein passender Reader"
 
 
@@ -189,18 +189,18 @@ def test_names_in_target_folders(spark):
 def test_calculated_totals(spark):
     """Specified invoices: line discounts and an allowance, mixed rates with free goods, and a forced net total."""
     lines = [
-        ("02", 1, "4", "129", "10", 0, 19), ("02", 2, "10", "12.50", "0", 0, 19), ("02", 3, "6", "7.80", "5", 0, 19), ("02", 4, "2", "49", "0", 0, 19),
-        ("06", 1, "1", "456.70", "0", 0, 19), ("mix", 1, "1", "100", "0", 5, 19), ("mix", 2, "1", "50", "0", 0, 7)]
+        ("disc", 1, "3", "118", "15", 0, 19), ("disc", 2, "7", "9.40", "0", 0, 19), ("disc", 3, "5", "6.30", "4", 0, 19), ("disc", 4, "2", "63", "0", 0, 19),
+        ("forced", 1, "1", "312.60", "0", 0, 19), ("mix", 1, "1", "100", "0", 5, 19), ("mix", 2, "1", "50", "0", 0, 7)]
     df = spark.createDataFrame([(d, n, D(q), D(p), D(r), D(f), D(v)) for d, n, q, p, r, f, v in lines],
                                "doc_id string, line_number int, quantity decimal(16,6), unit_price decimal(20,8), discount_percent decimal(9,4), "
                                "free_quantity decimal(16,6), vat_rate decimal(9,4)")
-    terms = spark.createDataFrame([("02", D(2), None), ("06", D(0), D("465.70")), ("mix", D(1), None), ("none", D(0), None)],
+    terms = spark.createDataFrame([("disc", D(2), None), ("forced", D(0), D("321.60")), ("mix", D(1), None), ("none", D(0), None)],
                                   "doc_id string, allowance_percent decimal(9,4), printed_net decimal(28,2)")
     got = {r["doc_id"]: r for r in invoice_totals(rate_groups(calculated_lines(df)), terms).collect()}
-    assert [got["02"][c] for c in ("line_total", "allowance", "net", "tax", "gross")] == [D("731.86"), D("14.64"), D("717.22"), D("136.27"), D("853.49")]
-    assert [got["06"][c] for c in ("net", "tax", "gross")] == [D("465.70"), D("88.48"), D("554.18")]
+    assert [got["disc"][c] for c in ("line_total", "allowance", "net", "tax", "gross")] == [D("522.94"), D("10.46"), D("512.48"), D("97.37"), D("609.85")]
+    assert [got["forced"][c] for c in ("net", "tax", "gross")] == [D("321.60"), D("61.10"), D("382.70")]
     assert got["mix"]["allowance_rejected"] and got["mix"]["has_free_goods"] and got["mix"]["net"] is None and got["mix"]["several_rates"]
-    assert got["02"]["has_discount"] and not got["02"]["several_rates"] and got["none"]["gross"] == D(0)
+    assert got["disc"]["has_discount"] and not got["disc"]["several_rates"] and got["none"]["gross"] == D(0)
     assert date(2026, 1, 1)
 
 

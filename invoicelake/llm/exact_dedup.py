@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from invoicelake.llm.words import fresh
+from invoicelake.llm.words import one_row_each, with_row_key
 from invoicelake.session import staged
 
 FAN = 16
@@ -81,13 +81,15 @@ def exact_duplicates(docs: DataFrame, fan: int = FAN) -> DataFrame:
 def without_duplicates(docs: DataFrame, fan: int = FAN) -> DataFrame:
     """The rows of `docs` that stay, with all their columns.
 
-    The rows are numbered in a written copy, so that the decision and the rows cannot drift apart on a retry.
+    Decided on a written table of digests; a row is known in it by doc_id and a hash of both doc_id and text, and of rows equal
+    in these any one stays.
     """
-    number = fresh(docs, "row_number")
-    kept = staged(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    rows = kept.select(F.col("doc_id").alias("id"), normalized(F.col("text")).alias("normal"), F.col(number).alias("row")).select(
+    keyed, key = with_row_key(docs)
+    rows = keyed.select(F.col("doc_id").alias("id"), normalized(F.col("text")).alias("normal"), F.col(key).alias("key")).select(
         "id", F.sha2("normal", 256).alias("digest"), F.xxhash64("normal").alias("check"), F.octet_length("normal").alias("size"),
-        F.spark_partition_id().alias("run"), "row")
+        F.spark_partition_id().alias("run"), F.monotonically_increasing_id().alias("row"), "key")
     rows = staged(rows, "digests")
-    winners = groups(rows, fan).select(F.col("stays.row").alias(number)).distinct()
-    return kept.join(winners, number, "left_semi").select(*docs.columns)
+    winners = groups(rows, fan).select("stays.row").distinct()
+    chosen = staged(rows.join(winners, "row", "left_semi").select(F.col("id").alias("doc_id"), F.col("key").alias(key)), "chosen")
+    repeated = staged(rows.groupBy(F.col("id").alias("doc_id"), F.col("key").alias(key)).count().where("count > 1"), "repeated")
+    return one_row_each(keyed, chosen, repeated, key).select(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from invoicelake.llm.graph import components
-from invoicelake.llm.words import SHINGLE, Mapper, Words, fresh, lists, mapped, mix, shingle_sets, text_slices
+from invoicelake.llm.words import SHINGLE, Mapper, Words, lists, mapped, mix, one_row_each, shingle_sets, text_slices, with_row_key
 from invoicelake.session import staged
 
 THRESHOLD = 0.8
@@ -203,11 +203,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE,
 
 def one_per_class(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, recall: float = RECALL) -> DataFrame:
     """The rows of `docs` that stay, with all their columns: of each class the one with the smallest doc_id (null ids last)."""
-    number = fresh(docs, "row_number")
-    kept = staged(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    found = staged(similar(kept.select("doc_id", "text", F.col(number).alias("row")), threshold, width, recall), "similar")
-    first = found.groupBy("class_row").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row").alias("stays"))).alias("best"))
-    return kept.join(first.select(F.col("best.stays").alias(number)), number, "left_semi").select(*docs.columns)
+    keyed, key = with_row_key(docs)
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    found = staged(similar(numbered, threshold, width, recall), "similar")
+    first = found.groupBy("class_row").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col("row").alias("stays"))).alias("best"))
+    first = staged(first.select(F.col("best.id").alias("first_id"), F.col("best.stays").alias("row")), "first")
+    keys = staged(numbered.select("doc_id", "row", F.xxhash64("doc_id", "text").alias(key)), "keys")
+    chosen = staged(keys.join(first, "row").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", key), "chosen")
+    if chosen.count() != first.count():
+        raise RuntimeError("the input changed between two scans")
+    repeated = staged(keys.groupBy("doc_id", key).count().where("count > 1"), "repeated")
+    return one_row_each(keyed, chosen, repeated, key).select(*docs.columns)
 
 
 ORACLE = """

@@ -140,6 +140,22 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
             yield batch.slice(a, b - a), texts[a:b]
 
 
+def one_row_each(docs: DataFrame, chosen: DataFrame, repeated: DataFrame, key: str) -> DataFrame:
+    """One row of a table from `with_row_key` for each doc_id and key in `chosen`; `repeated` has those that several rows share.
+
+    Rows that are alone under their key are taken as they are; only repeated ones are brought together, after they have been
+    reduced to one per task.
+    """
+    same = lambda a, b: (a[key] == b[key]) & a["doc_id"].eqNullSafe(b["doc_id"])
+    chosen, repeated = (t.select("doc_id", key) for t in (chosen, repeated))
+    once = chosen.join(repeated, same(chosen, repeated), "left_anti")
+    again = chosen.join(repeated, same(chosen, repeated), "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", key)]
+    several = docs.join(again.select(F.col("doc_id").alias("_chosen_id"), F.col(key).alias("_chosen_key")), (F.col(key) == F.col("_chosen_key")) & F.col("doc_id").eqNullSafe(F.col("_chosen_id")), "left_semi")
+    single = several.groupBy("doc_id", key).agg(F.first(F.struct(*others)).alias("_row")).select("doc_id", *[F.col("_row")[c].alias(c) for c in others])
+    return rows_with(docs, once, key).unionByName(single)
+
+
 def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     """A list column from one array per row."""
     offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)

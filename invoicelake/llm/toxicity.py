@@ -4,8 +4,9 @@ Training. At most `LABELLED` labelled rows of each class (smallest hash of doc_i
 equal texts count once. Terms are words and their beginnings (`PREFIXES` bytes), as insults are often stems, and each of
 them seen `REPEATS` times or more, as a cosine alone does not tell one mention from many. The vocabulary
 are the terms that go with the label among the examples (in `MIN_TOXIC` toxic ones or more, with more nats of
-evidence than the log of the number of examples, and a raise of the odds), at most `TERMS`. Texts without one of them are compared by all words of the examples instead, in a
-second index. Document frequencies of both are counted over all documents. Vectors are (1 + log tf) * idf, length one.
+evidence than the log of the number of examples, and a raise of the odds), at most `TERMS`. Texts without one of them are compared
+by all their words with the examples within a cosine of `RADIUS` instead, in a second index. Document frequencies of both are counted
+over all documents; a word of no example counts in a text's length as a word of one document. Vectors are (1 + log tf) * idf, length one.
 
 Index. For every term the examples that hold it, in blocks of `BLOCK` examples, with the largest weight per block. For a
 query the sum of (query weight * block maximum) bounds every cosine in a block. Blocks are scored in falling order of their
@@ -15,11 +16,12 @@ with two counts, and entries are laid out by their heaviest term, which keeps th
 Score. Neighbours vote with their cosine: the vote is the toxic share of the weights, drawn towards the share among
 examples without vocabulary terms. A monotone table over the examples, each judged without itself, turns votes into
 calibrated scores. Evidence is the number of entries that voted and the best cosine. Over all words
-any two texts are a little similar, so there a vote is the cosine to the power of `SHARPNESS`, and the table is made from the examples
-without vocabulary terms, each judged without itself and once as a copy of itself.
+any two texts are a little similar, so there only examples within `RADIUS` vote, with the cosine to the power of `SHARPNESS` (a cosine
+below it would count less than 2 percent), and the table is made from the examples without vocabulary terms, each judged without
+itself and once as a copy of itself. Texts without an example within `RADIUS` have the share of the examples without vocabulary terms.
 
 Cases: null and empty texts and texts without a word of any example have no neighbours; their score is the toxic share of
-such examples. Labels with null doc_id or null toxic are ignored; of several labels for one doc_id the smallest counts; a null
+the examples without vocabulary terms. Labels with null doc_id or null toxic are ignored; of several labels for one doc_id the smallest counts; a null
 doc_id is not held out. Without examples of both classes the score is the share of toxic examples (0 if there are none). Ties
 between neighbours go to the earlier entry. Repeated rows get equal results; columns other than doc_id and text are ignored.
 """
@@ -45,6 +47,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 REPEATS = (2, 3, 5)
 MIN_ODDS, MIN_TOXIC = 3.0, 3
 SHARPNESS = 8
+RADIUS = 0.6
+LEVELS = 32
 PRIOR_WEIGHT = 0.1
 DECISION = 0.7
 REMEMBERED = 50_000
@@ -102,12 +106,6 @@ def _example_counts(batches):
                                           pa.array(np.bincount(group, minlength=len(word)) - toxic), pa.array(toxic)], ["word", "plain", "clean", "toxic"])
 
 
-def _example_words(batches):
-    """The different words of every slice of examples."""
-    for _, texts in text_slices(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(Words(texts).hash).view(np.int64))], ["word"])
-
-
 def choose_terms(counts: DataFrame, clean: int, toxic: int, terms: int = TERMS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of terms (and of their plain terms) that go with the label: n * KL(share of toxic || base share) and raise of the odds, the strongest first."""
     n, base = F.col("clean") + F.col("toxic"), toxic / (clean + toxic)
@@ -266,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = LABELLED, terms: int = T
             own = place.get(_key(t, w), -1), int(y[i])
             votes[i] = model.vote(model.index.nearest(t, w, without=own), without=own)
     model.votes, model.scores = calibrate(votes, y, weight)
-    model.rest = _rest(docs, chosen, vectors, {1: real.get(1, 1) / toxic, 0: real.get(0, 1) / clean})
+    model.rest = _rest(docs, chosen, vectors, {1: real.get(1, 1) / toxic, 0: real.get(0, 1) / clean}, prior)
     return model
 
 
@@ -284,38 +282,151 @@ def _weighted(docs: DataFrame, chosen: DataFrame, vectors: Vectors) -> tuple[lis
     return weighted, np.array(y)
 
 
-def _rest(docs: DataFrame, chosen: DataFrame, vectors: Vectors, share: dict[int, float]) -> Model:
+class Nearby:
+    """Block-max inverted index over all words of the examples; finds the nearest ones with a cosine of `RADIUS` or more.
+
+    `words` are sorted hashes with their idf; a posting is (word, example, times). Lists are cut into blocks of `BLOCK` postings.
+    """
+
+    def __init__(self, words: np.ndarray, idf: np.ndarray, rare: float, entry: np.ndarray, term: np.ndarray, times: np.ndarray, y: np.ndarray, keys: np.ndarray):
+        self.words, self.idf, self.rare, self.keys, self.toxic, self.n = words, idf, rare, keys, y, len(y)
+        raw = (1 + np.log(times)) * idf[term]
+        self.norm = np.sqrt(np.bincount(entry, raw * raw, self.n))
+        order = np.lexsort((entry, term))
+        self.entry, self.times, of = entry[order].astype(np.int32), times[order].astype(np.int32), term[order]
+        weight = raw[order] / self.norm[self.entry]
+        self.first = np.searchsorted(of, np.arange(len(words) + 1))
+        at = np.flatnonzero((np.arange(len(of)) - self.first[of]) % BLOCK == 0)
+        self.block_first = np.searchsorted(of[at], np.arange(len(words) + 1))
+        self.block = np.concatenate([at, [len(of)]])
+        self.highest = np.maximum.reduceat(weight, at) if len(at) else np.empty(0)
+        self.top = np.maximum.reduceat(self.highest, self.block_first[:-1]) if len(words) else np.empty(0)
+        self.levels = np.linspace(idf.min(initial=0.0), idf.max(initial=1.0), LEVELS)
+        level = np.searchsorted(self.levels, idf[of])
+        mass = np.bincount(np.minimum(level, LEVELS - 1) * self.n + self.entry, weight * weight, LEVELS * self.n).reshape(LEVELS, self.n)
+        self.length = np.sqrt(np.cumsum(mass, axis=0))  # of every example's words with an idf up to each level
+
+    def queries(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, weights) of every text, the rarest terms first; words of no example count in the length as words of one document."""
+        words = Words(texts)
+        text, hashes, times, _ = _distinct(words.text, words.hash, ())
+        at = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
+        hit = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), bool)
+        raw = (1 + np.log(times)) * (np.where(hit, self.idf[at], self.rare) if len(self.words) else self.rare)
+        norm = np.sqrt(np.bincount(text, raw * raw, len(texts)))
+        text, at, weight = text[hit], at[hit], raw[hit] / norm[text[hit]]
+        order = np.lexsort((at, -self.idf[at], text))
+        at, weight = at[order], weight[order]
+        first = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+        return [(at[a:b], weight[a:b]) for a, b in zip(first[:-1], first[1:])]
+
+    def _exact(self, term: np.ndarray, weight: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        """The cosines of the candidates: each is looked up in the list of each term."""
+        out = np.empty(len(candidates))
+        step = max(1, (1 << 20) // max(1, len(term)))
+        for i in range(0, len(candidates), step):
+            some = candidates[i:i + step]
+            low = np.repeat(self.first[term][:, None], len(some), 1)
+            high = np.repeat(self.first[term + 1][:, None], len(some), 1)
+            end = high.copy()
+            while (low < high).any():
+                middle = (low + high) // 2
+                less = (self.entry[np.minimum(middle, len(self.entry) - 1)] < some) & (low < high)
+                low, high = np.where(less, middle + 1, low), np.where(less, high, np.minimum(high, middle))
+            at = np.minimum(low, len(self.entry) - 1)
+            held = np.where((low < end) & (self.entry[at] == some), 1 + np.log(self.times[at]), 0.0)
+            out[i:i + step] = (weight * self.idf[term]) @ held / self.norm[some]
+        return out
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, radius: float = RADIUS, without: int = -1) -> list[tuple[float, int, int]]:
+        """(cosine, example, 1) of the k nearest examples with a cosine of `radius` or more, for a query of `queries`.
+
+        An example that shares only the terms behind a cut cannot come nearer than their length, nor than the sum of their bounds. So
+        lists are read up to the first cut where one of both is below `radius`; of these lists the blocks whose bound is below
+        are left out. The terms behind the cut add at most their length times the length of the example's equally common words; what
+        can still reach `radius` is computed in full.
+        """
+        bound = weight * self.top[term]
+        behind = np.minimum(np.sqrt(np.cumsum((weight * weight)[::-1])[::-1]), np.cumsum(bound[::-1])[::-1])
+        least = radius - 1e-9
+        cut = int(np.searchsorted(-behind, -least, "right"))  # `behind` falls: terms before the cut can matter
+        if not cut:
+            return []
+        rest = behind[cut] if cut < len(term) else 0.0
+        ahead = np.cumsum(bound[:cut])[-1] - bound[:cut] + rest
+        block, other = _ranges(self.block_first[term[:cut]], self.block_first[term[:cut] + 1], ahead)
+        _, query = _ranges(self.block_first[term[:cut]], self.block_first[term[:cut] + 1], weight[:cut])
+        _, idf = _ranges(self.block_first[term[:cut]], self.block_first[term[:cut] + 1], self.idf[term[:cut]])
+        keep = query * self.highest[block] + other >= least
+        at, factor = _ranges(self.block[block[keep]], self.block[block[keep] + 1], (query * idf)[keep])
+        entry = self.entry[at]
+        partial = np.bincount(entry, factor * (1 + np.log(self.times[at])) / self.norm[entry], self.n)
+        if cut < len(term):
+            level = min(int(np.searchsorted(self.levels, self.idf[term[cut]])), LEVELS - 1)
+            rest = np.minimum(rest, np.sqrt(np.sum(weight[cut:] ** 2)) * self.length[level] + 1e-9)
+        candidates = np.flatnonzero((partial > 0) & (partial + rest >= least))
+        candidates = candidates[candidates != without]
+        if not len(candidates):
+            return []
+        cosine = self._exact(term, weight, candidates)
+        best = np.lexsort((candidates, -np.round(cosine, 12)))
+        best = best[cosine[best] >= least][:k]
+        return [(float(cosine[i]), int(candidates[i]), 1) for i in best]
+
+
+def _packed() -> Mapper:
+    """One row per slice of examples: (key, label, size) of its examples and (word, times) of their words, as packed arrays."""
+    def run(batches):
+        for batch, texts in text_slices(batches):
+            found = Words(texts)
+            text, hashes, times, _ = _distinct(found.text, found.hash, ())
+            columns = (batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64),
+                       np.bincount(text, minlength=len(texts)).astype(np.int64), hashes, times.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["key", "y", "size", "word", "times"])
+    return run
+
+
+def _nearby(docs: DataFrame, chosen: DataFrame) -> Nearby:
+    """The index over all words of the examples. They are bounded, and come to the driver as packed arrays of numbers."""
+    rows = mapped(chosen.select("text", "y", F.xxhash64("text", "y").alias("key")), _packed(), "key binary, y binary, size binary, word binary, times binary").toArrow()
+    column = lambda name, kind: np.frombuffer(b"".join(rows[name].to_pylist()), kind)
+    key, y, size = column("key", np.int64), column("y", np.int64), column("size", np.int64)
+    word, times = column("word", np.uint64), column("times", np.int32)
+    del rows
+    place = np.empty(len(key), np.int64)
+    place[np.argsort(key, kind="stable")] = np.arange(len(key))
+    words, term = np.unique(word, return_inverse=True)
+    vectors = Vectors(words, words, True)
+    frequency, n_docs = document_frequency(docs, vectors)
+    idf = np.log((1 + n_docs) / (1 + frequency)) + 1
+    order = np.argsort(key, kind="stable")
+    return Nearby(words, idf, math.log((1 + n_docs) / 2) + 1, np.repeat(place, size), term, times, y[order], key[order])
+
+
+def _rest(docs: DataFrame, chosen: DataFrame, vectors: Vectors, share: dict[int, float], prior: float) -> Model:
     """The model over all words of the examples, its table made from those without a term of `vectors`."""
-    found = mapped(chosen, _example_words, "word long").distinct()
-    words = np.fromiter((r["word"] for r in found.toLocalIterator()), np.int64).view(np.uint64)
-    whole = Vectors(words, words, True)
-    weighted, y = _weighted(docs, chosen, whole)
-    empty = np.array([not len(t) for t, _ in weighted])
-    weight = np.where(y == 1, share[1], share[0])
-    prior = (float(weight[empty & (y == 1)].sum()) + 0.01) / (float(weight[empty].sum()) + 1.0)
-    model = Model(whole, Index(weighted, y, len(whole.terms)), prior, SHARPNESS)
+    model = Model(vectors, _nearby(docs, chosen), prior, SHARPNESS)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, model))
 
     def run(batches):
         vectors, model = shared.value
         for batch, texts in text_slices(batches):
-            words = Words(texts)
-            known = np.bincount(vectors.find(*_distinct_of(vectors, words))[0], minlength=len(texts))
-            kinds = batch.column(1).to_pylist()
+            known = np.bincount(vectors.find(*_distinct_of(vectors, Words(texts)))[0], minlength=len(texts))
+            kinds, keys = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             out: list[tuple[int, float]] = []
-            for i, (t, w) in enumerate(_vectors_of(model.vectors, words, len(texts))):
+            for i, (t, w) in enumerate(model.index.queries(texts)):
                 if known[i] or not len(t):
                     continue
-                near = model.index.nearest(t, w)
-                own = near[0][1], kinds[i]
-                out += [(kinds[i], model.vote(near)), (kinds[i], model.vote(model.index.nearest(t, w, without=own), without=own))]
+                own = int(np.searchsorted(model.index.keys, keys[i]))
+                out += [(kinds[i], model.vote(model.index.nearest(t, w))), (kinds[i], model.vote(model.index.nearest(t, w, without=own)))]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.float64())], ["y", "vote"])
 
-    judged = mapped(chosen, run, "y int, vote double").orderBy("y", "vote").collect()  # at most two for each example
+    keyed = chosen.select("text", "y", F.xxhash64("text", "y").alias("key"))
+    judged = mapped(keyed, run, "y int, vote double").orderBy("y", "vote").toArrow()  # at most two for each example
     shared.destroy()
-    if judged:
-        kinds = np.array([r["y"] for r in judged])
-        model.votes, model.scores = calibrate(np.array([r["vote"] for r in judged]), kinds, np.where(kinds == 1, share[1], share[0]))
+    if judged.num_rows:
+        kinds = judged["y"].to_numpy()
+        model.votes, model.scores = calibrate(judged["vote"].to_numpy(), kinds, np.where(kinds == 1, share[1], share[0]))
     return model
 
 
@@ -365,11 +476,10 @@ def document_frequency(docs: DataFrame, vectors: Vectors) -> tuple[np.ndarray, i
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["term", "n"])
 
-    rows = mapped(docs.select("text"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = mapped(docs.select("text"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     shared.destroy()
     out = np.zeros(len(vectors.terms) + 1, np.int64)
-    for r in rows:
-        out[r["term"]] = r["n"]
+    out[rows["term"].to_numpy()] = rows["n"].to_numpy()
     return out[:-1], int(out[-1])
 
 
@@ -390,7 +500,7 @@ def _score(shared) -> Mapper:
         for batch, texts in text_slices(batches):
             words = Words(texts)
             chosen = _vectors_of(model.vectors, words, len(texts))
-            whole = _vectors_of(model.rest.vectors, words, len(texts)) if model.rest else chosen
+            whole = model.rest.index.queries(texts) if model.rest else chosen
             score, near, top = [], [], []
             for of_chosen, of_whole in zip(chosen, whole):
                 use, (t, w) = (model, of_chosen) if len(of_chosen[0]) or not model.rest else (model.rest, of_whole)

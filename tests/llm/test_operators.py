@@ -314,6 +314,41 @@ def test_nearest_examples_are_exact():
         assert np.allclose(got, want)
 
 
+def test_nearest_examples_by_all_words_are_exact():
+    rng = np.random.default_rng(12)
+    n, size = 300, 500
+    share = 1 / np.arange(1, size + 1)
+    texts = [rng.choice(size, rng.integers(1, 60), p=share / share.sum()) for _ in range(n)]
+    texts += [np.concatenate([t[:len(t) - len(t) // 4], rng.choice(size, len(t) // 4)]) for t in texts[:150]]
+    joined = [" ".join(f"w{k}" for k in t).encode() for t in texts]
+    hashes = toxicity.Words([" ".join(f"w{k}" for k in range(size)).encode()]).hash
+    counts = np.zeros((len(texts), size))
+    for i, t in enumerate(texts):
+        np.add.at(counts[i], t, 1)
+    idf = np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))) + 1
+    known = np.flatnonzero(counts[:n].sum(axis=0))
+    known = known[np.argsort(hashes[known])]
+    rare = 6.5
+    idf[counts[:n].sum(axis=0) == 0] = rare
+    entry, term = np.nonzero(counts[:n][:, known])
+    index = toxicity.Nearby(hashes[known], idf[known], rare, entry, term, counts[:n][:, known][entry, term], np.zeros(n, int), np.arange(n))
+    dense = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    some = 0
+    for i, (t, w) in enumerate(index.queries(joined)):
+        cosine = dense[:n] @ dense[i]
+        if i < n:
+            cosine[i] = 0
+        for radius in (0.3, 0.45, toxicity.RADIUS):
+            want = np.sort(cosine[cosine >= radius])[::-1][:toxicity.NEIGHBOURS]
+            got = index.nearest(t, w, radius=radius, without=i if i < n else -1)
+            assert np.allclose([c for c, _, _ in got], want)
+            assert all(np.isclose(cosine[e], c) for c, e, _ in got)
+            some += len(got)
+    assert some > 300
+    assert index.nearest(*index.queries([b""])[0]) == [] and index.nearest(*index.queries([b"unseen"])[0]) == []
+
+
 def test_toxicity_learns_only_from_rows_not_held_out(spark):
     rng = random.Random(9)
     words = [f"w{k}" for k in range(200)]

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from invoicelake.llm.words import FOLDED, Mapper, Words, mapped, mix, run_hashes, text_slices
+from invoicelake.llm.words import CHUNK, FOLDED, Mapper, Words, mapped, mix, run_hashes, text_slices
 
 LABELLED = 10_000
 TERMS = 4096
@@ -290,21 +290,30 @@ class Nearby:
 
     def __init__(self, words: np.ndarray, idf: np.ndarray, rare: float, entry: np.ndarray, term: np.ndarray, times: np.ndarray, y: np.ndarray, keys: np.ndarray):
         self.words, self.idf, self.rare, self.keys, self.toxic, self.n = words, idf, rare, keys, y, len(y)
-        raw = (1 + np.log(times)) * idf[term]
-        self.norm = np.sqrt(np.bincount(entry, raw * raw, self.n))
-        order = np.lexsort((entry, term))
-        self.entry, self.times, of = entry[order].astype(np.int32), times[order].astype(np.int32), term[order]
-        weight = raw[order] / self.norm[self.entry]
+        order = np.argsort(term.astype(np.int64) * max(1, self.n) + entry)
+        self.entry, self.times, of = entry[order].astype(np.int32), times[order].astype(np.int32), term[order].astype(np.int32)
+        del order
+        parts = [slice(i, i + CHUNK) for i in range(0, len(of), CHUNK)]  # 64-bit numbers of a part of the postings at a time
+        raw = lambda part: (1 + np.log(self.times[part])) * idf[of[part]]
+        squares = np.zeros(self.n)
+        for part in parts:
+            squares += np.bincount(self.entry[part], raw(part) ** 2, self.n)
+        self.norm = np.sqrt(squares)
+        self.levels = np.linspace(idf.min(initial=0.0), idf.max(initial=1.0), LEVELS)
+        mass, weight = np.zeros(LEVELS * self.n), np.empty(len(of), np.float32)
+        for part in parts:
+            exact = raw(part) / self.norm[self.entry[part]]
+            level = np.minimum(np.searchsorted(self.levels, idf[of[part]]), LEVELS - 1)
+            mass += np.bincount(level * self.n + self.entry[part], exact * exact, LEVELS * self.n)
+            weight[part] = exact
+        self.length = np.sqrt(np.cumsum(mass.reshape(LEVELS, self.n), axis=0))  # of every example's words with an idf up to each level
         self.first = np.searchsorted(of, np.arange(len(words) + 1))
-        at = np.flatnonzero((np.arange(len(of)) - self.first[of]) % BLOCK == 0)
+        at, begin = _ranges(np.zeros(len(words), np.int64), -(-np.diff(self.first) // BLOCK), self.first[:-1])
+        at = begin + at * BLOCK
         self.block_first = np.searchsorted(of[at], np.arange(len(words) + 1))
         self.block = np.concatenate([at, [len(of)]])
-        self.highest = np.maximum.reduceat(weight, at) if len(at) else np.empty(0)
+        self.highest = np.maximum.reduceat(weight, at) * (1 + 1e-6) if len(at) else np.empty(0)  # not below the exact weights
         self.top = np.maximum.reduceat(self.highest, self.block_first[:-1]) if len(words) else np.empty(0)
-        self.levels = np.linspace(idf.min(initial=0.0), idf.max(initial=1.0), LEVELS)
-        level = np.searchsorted(self.levels, idf[of])
-        mass = np.bincount(np.minimum(level, LEVELS - 1) * self.n + self.entry, weight * weight, LEVELS * self.n).reshape(LEVELS, self.n)
-        self.length = np.sqrt(np.cumsum(mass, axis=0))  # of every example's words with an idf up to each level
 
     def queries(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(terms, weights) of every text, the rarest terms first; words of no example count in the length as words of one document."""
@@ -374,32 +383,41 @@ class Nearby:
         return [(float(cosine[i]), int(candidates[i]), 1) for i in best]
 
 
-def _packed() -> Mapper:
-    """One row per slice of examples: (key, label, size) of its examples and (word, times) of their words, as packed arrays."""
+def _example_words(batches):
+    """The different words of every slice of examples."""
+    for _, texts in text_slices(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(Words(texts).hash).view(np.int64))], ["word"])
+
+
+def _packed(shared) -> Mapper:
+    """One row per slice of examples: (key, label, size) of its examples and (term, times) of their words, as packed arrays."""
     def run(batches):
         for batch, texts in text_slices(batches):
             found = Words(texts)
             text, hashes, times, _ = _distinct(found.text, found.hash, ())
             columns = (batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64),
-                       np.bincount(text, minlength=len(texts)).astype(np.int64), hashes, times.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["key", "y", "size", "word", "times"])
+                       np.bincount(text, minlength=len(texts)).astype(np.int64), np.searchsorted(shared.value, hashes).astype(np.int32), times.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["key", "y", "size", "term", "times"])
     return run
 
 
 def _nearby(docs: DataFrame, chosen: DataFrame) -> Nearby:
-    """The index over all words of the examples. They are bounded, and come to the driver as packed arrays of numbers."""
-    rows = mapped(chosen.select("text", "y", F.xxhash64("text", "y").alias("key")), _packed(), "key binary, y binary, size binary, word binary, times binary").toArrow()
-    column = lambda name, kind: np.frombuffer(b"".join(rows[name].to_pylist()), kind)
-    key, y, size = column("key", np.int64), column("y", np.int64), column("size", np.int64)
-    word, times = column("word", np.uint64), column("times", np.int32)
-    del rows
-    place = np.empty(len(key), np.int64)
-    place[np.argsort(key, kind="stable")] = np.arange(len(key))
-    words, term = np.unique(word, return_inverse=True)
-    vectors = Vectors(words, words, True)
-    frequency, n_docs = document_frequency(docs, vectors)
+    """The index over all words of the examples. They are bounded, and come to the driver as packed numbers, a partition at a time."""
+    words = np.sort(mapped(chosen, _example_words, "word long").distinct().toArrow()["word"].to_numpy().view(np.uint64))
+    frequency, n_docs = document_frequency(docs, Vectors(words, words, True))
     idf = np.log((1 + n_docs) / (1 + frequency)) + 1
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    rows = mapped(chosen.select("text", "y", F.xxhash64("text", "y").alias("key")), _packed(shared), "key binary, y binary, size binary, term binary, times binary")
+    kinds = {"key": np.int64, "y": np.int64, "size": np.int64, "term": np.int32, "times": np.int32}
+    parts: dict[str, list] = {name: [np.empty(0, kind)] for name, kind in kinds.items()}
+    for row in rows.toLocalIterator():
+        for name, kind in kinds.items():
+            parts[name].append(np.frombuffer(row[name], kind))
+    shared.destroy()
+    key, y, size, term, times = (np.concatenate(parts.pop(name)) for name in kinds)
     order = np.argsort(key, kind="stable")
+    place = np.empty(len(key), np.int32)
+    place[order] = np.arange(len(key))
     return Nearby(words, idf, math.log((1 + n_docs) / 2) + 1, np.repeat(place, size), term, times, y[order], key[order])
 
 

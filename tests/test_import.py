@@ -13,7 +13,7 @@ from invoicelake.operators.audit import integrity_audit
 from invoicelake.operators.store import Store, constraint_conflicts
 from invoicelake.operators.totals import calculated_lines, invoice_totals, rate_groups
 from invoicelake.operators.validate import Settings
-from invoicelake.plans import reports
+from invoicelake.plans import importing, reports
 from invoicelake.plans.importing import check_run, import_batch, import_into
 from invoicelake.sources.files import in_inbox, list_files, not_loaded, read_documents, with_arrival
 from invoicelake.streaming.inbox import start_import, watch_files, watch_packed
@@ -161,6 +161,32 @@ def test_lost_commit_decides_again(spark, tmp_path, monkeypatch):
     assert [r["writer"] for r in store.batches().orderBy("commit").collect()] == ["other", "batch"]
 
 
+def test_a_lost_commit_reads_nothing_again(spark, tmp_path, monkeypatch):
+    """The other writer stores a file of the batch and lets a document wait: of all documents the retry reads only that one."""
+    store = Store(spark, str(tmp_path / "store")).create()
+    put(tmp_path / "in", A__xml=ubl("RE-1"), B__xml=cii("re 1"), C__xml=ubl("RE-2"), D__xml=ubl("RE-3", gross="1"))
+    put(tmp_path / "other", X__xml=cii("RE 2"), Y__xml=ubl("RE-1"), W__pdf="waits")
+    commit, tries, parsed, real = store.commit, [], [], importing.read_all
+
+    def counted(documents, *rest):
+        parsed.append(sorted(r["file_name"] for r in documents.select("file_name").collect()))
+        return real(documents, *rest)
+
+    def late(*args):
+        tries.append(args[1])
+        if len(tries) == 1:
+            import_into(Store(spark, store.root), 0, read_documents(spark, str(tmp_path / "other")), SETTINGS, writer="other", at=AT)
+        return commit(*args)
+
+    monkeypatch.setattr(importing, "read_all", counted)
+    monkeypatch.setattr(store, "commit", late)
+    import_into(store, 0, read_documents(spark, str(tmp_path / "in")), SETTINGS, at=AT)
+    assert parsed == [["A.xml", "B.xml", "C.xml", "D.xml"], ["W.pdf", "X.xml", "Y.xml"], ["W.pdf"]] and len(tries) == 2
+    assert log_of(store) == {"X.xml": ("imported", 2), "Y.xml": ("imported", 3), "A.xml": ("duplicate", 3), "B.xml": ("duplicate", 3),
+                             "C.xml": ("duplicate", 2), "D.xml": ("validation_failed", None)}
+    assert [r["file_name"] for r in store.pending().collect()] == ["W.pdf"]
+
+
 def test_check_run(spark, tmp_path):
     put(tmp_path / "in", A__xml=ubl("RE-1"), C__xml=ubl("RE-2", gross="1"), n__txt="x")
     got = {r["file_name"]: r["report"] for r in check_run(read_documents(spark, str(tmp_path / "in")), SETTINGS).collect()}

@@ -238,3 +238,10 @@ def test_stream_cleans_its_folder(spark, tmp_path):
         start_import(watch_files(spark, str(tmp_path / "in"), clean="delete"), store, SETTINGS, str(tmp_path / "cp"), at=AT).awaitTermination()
     assert {s for s, _ in log_of(store).values()} == {"imported"} and len(log_of(store)) == 2
     assert "A.xml" not in {p.name for p in (tmp_path / "in").iterdir()}
+
+
+def test_archive_rows_without_locator(spark):
+    """Outcomes that come from no store have no locator."""
+    imported = spark.createDataFrame([(7, date(2026, 9, 3), "0123456789abcdef", "x.xml")], "arrival_seq long, invoice_date date, sha256 string, file_name string")
+    assert [r.asDict() for r in sinks.archive_rows(imported).collect()] == [
+        {"arrival_seq": 7, "year": "2026", "month": "09", "archive_path": "2026/09/0123456789ab_x.xml"}]

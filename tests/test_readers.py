@@ -158,3 +158,18 @@ def test_own_reader_comes_first(spark):
     own = readers.Reader("csv", lambda: F.col("ext") == ".csv", take)
     out = readers.read_all(docs(spark, a__csv="x", b__xml=ubl()), SETTINGS, [own, *readers.builtin_readers(SETTINGS)]).collect()
     assert {r["path"]: r["read_message"] for r in out} == {"a__csv": "eigener Reader", "b__xml": None}
+
+
+def test_lines_are_mapped_once(spark):
+    """The totals mention the lines; the plan must not map them again for each mention."""
+    plan = einvoice.parse_xml(docs(spark, u__xml=ubl())).select("invoice")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("struct(line_number") == 1
+
+
+def test_long_prolog(spark):
+    """The root tag far behind the first characters, and parts of the prolog that are cut there."""
+    text = ubl()
+    for filler in ("<!--" + "x" * 5000 + "-->", " " * 5000, "<?p " + "y" * 995 + "?>", "<!--" + "<Order>" * 200 + "-->", "<!-- a -->" * 99):
+        for n in range(0, 60, 7):
+            long = text.replace("?>\n", "?>" + " " * n + filler, 1)
+            assert spark.range(1).select(einvoice.detect_syntax(F.lit(long)).alias("s")).first()["s"] == "UBL"

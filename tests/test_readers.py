@@ -173,3 +173,13 @@ def test_long_prolog(spark):
         for n in range(0, 60, 7):
             long = text.replace("?>\n", "?>" + " " * n + filler, 1)
             assert spark.range(1).select(einvoice.detect_syntax(F.lit(long)).alias("s")).first()["s"] == "UBL"
+
+
+def test_only_repeated_answers_are_shuffled(spark):
+    """Equal keys, null ones too, give the smallest row; without equal keys the texts stay where they are."""
+    rows = [("a", 1, "x"), ("a", 1, "w"), ("a", 2, "z"), (None, 1, "q"), (None, 1, "p"), ("b", 1, None)]
+    df = spark.createDataFrame(rows, "sha256 string, attempt int, json string")
+    assert sorted(map(str, answers.one_per_attempt(df).collect())) == sorted(map(str, df.groupBy("sha256", "attempt").agg(F.min("json").alias("json")).collect()))
+    alone = answers.one_per_attempt(df.where("sha256 = 'b' or attempt = 2"))
+    assert sorted(r["json"] or "" for r in alone.collect()) == ["", "z"]
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()

@@ -13,10 +13,11 @@ from invoicelake.operators.audit import integrity_audit
 from invoicelake.operators.store import Store, constraint_conflicts
 from invoicelake.operators.totals import calculated_lines, invoice_totals, rate_groups
 from invoicelake.operators.validate import Settings
-from invoicelake.plans import importing, reports
+from invoicelake.plans import catalog, importing, reports, synth
 from invoicelake.plans.importing import check_run, import_batch, import_into
 from invoicelake.sources.files import in_inbox, list_files, not_loaded, read_documents, with_arrival
 from invoicelake.streaming.inbox import start_import, watch_files, watch_packed
+from conftest import SF_DIR
 from samples import AS_OF, cii, ubl
 from test_readers import SCHEMA, answer, row
 
@@ -245,3 +246,16 @@ def test_archive_rows_without_locator(spark):
     imported = spark.createDataFrame([(7, date(2026, 9, 3), "0123456789abcdef", "x.xml")], "arrival_seq long, invoice_date date, sha256 string, file_name string")
     assert [r.asDict() for r in sinks.archive_rows(imported).collect()] == [
         {"arrival_seq": 7, "year": "2026", "month": "09", "archive_path": "2026/09/0123456789ab_x.xml"}]
+
+
+def test_staged_columns(spark):
+    """Decisions stage the header columns they need; headers are not shuffled by supplier."""
+    d = catalog.deliveries_with_status(spark, SF_DIR)
+    assert "supplier_street" not in d.columns and "supplier_street" in catalog.deliveries_with_status(spark, SF_DIR, "supplier_street").columns
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = synth.invoice_view(spark, SF_DIR)[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "hashpartitioning(s_suppkey" not in plan
